@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import quality_rules, sharding
+from evenkeel.llm import prob_minhash, quality_rules, sharding
 from evenkeel.llm.common import read
 
 
@@ -13,10 +13,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op3_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prob_minhash.near_duplicate_classes(read(spark, sf_dir, "documents"))
+
+
 def op9_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), sharding.HashTree.balanced(24))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op9_hash_tree_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_prob_minhash, op9_hash_tree_sharding)}
 
 SQL: dict[str, str] = {}
