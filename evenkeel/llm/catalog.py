@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import prob_minhash, quality_rules, sharding
+from evenkeel.llm import prob_minhash, quality_rules, sentencepiece_codec, sharding, token_counts
 from evenkeel.llm.common import read
 
 
@@ -17,10 +17,18 @@ def op3_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prob_minhash.near_duplicate_classes(read(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.histogram(read(spark, sf_dir, "documents"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(read(spark, sf_dir, "documents"))
+
+
 def op9_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), sharding.HashTree.balanced(24))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_prob_minhash, op9_hash_tree_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_prob_minhash, op5_token_counts, op7_sentencepiece, op9_hash_tree_sharding)}
 
 SQL: dict[str, str] = {}
