@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import prob_minhash, quality_rules, sentencepiece_codec, sharding, token_counts
+from evenkeel.llm import classifier, prob_minhash, quality_rules, sentencepiece_codec, sharding, token_counts
 from evenkeel.llm.common import read
 
 
@@ -17,6 +17,10 @@ def op3_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prob_minhash.near_duplicate_classes(read(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.histogram(read(spark, sf_dir, "documents"))
 
@@ -29,6 +33,6 @@ def op9_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), sharding.HashTree.balanced(24))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_prob_minhash, op5_token_counts, op7_sentencepiece, op9_hash_tree_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_prob_minhash, op4_quality_classifier, op5_token_counts, op7_sentencepiece, op9_hash_tree_sharding)}
 
 SQL: dict[str, str] = {}
