@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import classifier, prob_minhash, quality_rules, sentencepiece_codec, sharding, token_counts
+from evenkeel.llm import classifier, decontaminate, prob_minhash, quality_rules, sentencepiece_codec, sharding, token_counts
 from evenkeel.llm.common import read
 
 
@@ -29,10 +29,14 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(read(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), sharding.HashTree.balanced(24))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_prob_minhash, op4_quality_classifier, op5_token_counts, op7_sentencepiece, op9_hash_tree_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_prob_minhash, op4_quality_classifier, op5_token_counts, op7_sentencepiece, op8_decontamination, op9_hash_tree_sharding)}
 
 SQL: dict[str, str] = {}

@@ -45,3 +45,8 @@ def durable(df: DataFrame) -> DataFrame:
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="evenkeel-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has ``rows`` rows at most, else as it is.  Counts ``df``: make it durable first."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
