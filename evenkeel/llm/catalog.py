@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import classifier, decontaminate, prob_minhash, quality_rules, sentencepiece_codec, sharding, token_counts
+from evenkeel.llm import classifier, decontaminate, line_dedup, prob_minhash, quality_rules, sentencepiece_codec, sharding, token_counts
 from evenkeel.llm.common import read
 
 
@@ -37,6 +37,10 @@ def op9_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), sharding.HashTree.balanced(24))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_prob_minhash, op4_quality_classifier, op5_token_counts, op7_sentencepiece, op8_decontamination, op9_hash_tree_sharding)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_prob_minhash, op4_quality_classifier, op5_token_counts, op7_sentencepiece, op8_decontamination, op9_hash_tree_sharding, op10_line_dedup)}
 
 SQL: dict[str, str] = {}
