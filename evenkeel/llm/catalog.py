@@ -58,7 +58,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages are taken as fetched on a day that their id decides: the table has no time."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("fetched_at", _day(F.col("page_id") * 37 % 900))
-    return url_filters.judge(captures, _list_entries(pages))
+    return url_filters.judge(captures, _list_entries(pages)).withColumn("fetched_at", F.col("fetched_at").cast("string"))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,7 @@ WITH cap AS (
    AND (h = pattern OR ends_with(h, '.' || pattern) OR (h || p = pattern) OR (ends_with(pattern, '/') AND starts_with(h || p, pattern)))
   GROUP BY c.page_id
 )
-SELECT c.page_id, url, fetched_at, coalesce(n_block, 0) AS n_block, coalesce(n_allow, 0) AS n_allow,
+SELECT c.page_id, url, CAST(fetched_at AS VARCHAR) AS fetched_at, coalesce(n_block, 0) AS n_block, coalesce(n_allow, 0) AS n_allow,
        coalesce(n_block, 0) > 0 AND coalesce(n_allow, 0) = 0 AS blocked
 FROM cap c LEFT JOIN hit USING (page_id)
 """,
