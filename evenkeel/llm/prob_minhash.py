@@ -15,8 +15,8 @@ probability 3e-5.
 Equal texts meet first (128-bit hash of the whole text) and count once from then on.  Inside a
 bucket candidates are not all pairs: every member is compared with the bucket's least id, linked
 texts are joined into components, and only texts of a bucket in different components are compared
-further.  In large buckets a text is left out of that when its own shingles prove that it is not
-similar to any of the others (see :func:`_provably_alone`).  No link is lost to these steps.
+further.  In large buckets texts and pairs are left out of that when shingles that no other text has
+prove that they are not similar (see :func:`_provably_alone` and :func:`_cannot_link`).  No link is lost to these steps.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.llm import scan
@@ -144,7 +144,17 @@ def _links(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     return pairs.distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify, "a long, b long")
 
 
-def _provably_alone(members: DataFrame, elements: DataFrame) -> DataFrame:
+def _own_shares(ids: DataFrame, elements: DataFrame) -> DataFrame:
+    """``id, n, u, plain`` of the texts: weight, weight of shingles that no other of the texts has, whether none repeats."""
+    own = elements.join(ids, "id").select("id", "weights", F.arrays_zip("items", "weights").alias("e"))
+    flat = own.select("id", F.inline("e")).toDF("id", "item", "weight")
+    once = flat.groupBy("item").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("weight").alias("weight")).where("n = 1")
+    unique = once.groupBy("id").agg(F.sum("weight").alias("u"))
+    size = own.select("id", F.aggregate("weights", F.lit(0).cast("long"), lambda s, w: s + w).alias("n"), (F.array_max("weights") == 1).alias("plain"))
+    return size.join(unique, "id", "left").select("id", "n", "plain", F.coalesce("u", F.lit(0)).alias("u"))
+
+
+def _provably_alone(members: DataFrame) -> DataFrame:
     """(bucket, id) of members of large buckets that are not similar to any other member.
 
     Let u be the weight of the shingles that no other text in any large bucket has, n the text's
@@ -152,23 +162,25 @@ def _provably_alone(members: DataFrame, elements: DataFrame) -> DataFrame:
     proves it.  Where no shingle repeats in any text of the bucket, J is the Jaccard similarity, at
     most (n - u) / (n' + u) for a partner of n' shingles, so the bucket's least n' can prove it too.
     """
-    some = members.select("id").distinct()
-    own = elements.join(some, "id").select("id", F.arrays_zip("items", "weights").alias("e"))
-    flat = own.select("id", F.inline("e")).toDF("id", "item", "weight")
-    once = flat.groupBy("item").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("weight").alias("weight")).where("n = 1")
-    unique = once.groupBy("id").agg(F.sum("weight").alias("u"))
-    size = elements.join(some, "id").select(
-        "id",
-        F.aggregate("weights", F.lit(0).cast("long"), lambda s, w: s + w).alias("n"),
-        (F.array_max("weights") == 1).alias("plain"),
-    )
-    text = size.join(unique, "id", "left").select("id", "n", "plain", F.coalesce("u", F.lit(0)).alias("u"))
-    placed = members.join(text, "id")
-    bucket = placed.groupBy("bucket").agg(F.min("n").alias("least"), F.min("plain").alias("all_plain"))
+    bucket = members.groupBy("bucket").agg(F.min("n").alias("least"), F.min("plain").alias("all_plain"))
     alone = (F.col("u") > (1 - THRESHOLD) * F.col("n") + 1e-6) | (
         F.col("all_plain") & (F.col("n") - F.col("u") < THRESHOLD * (F.col("least") + F.col("u")) - 1e-6)
     )
-    return placed.join(bucket, "bucket").where(alone).select("bucket", "id")
+    return members.join(bucket, "bucket").where(alone).select("bucket", "id")
+
+
+def _cannot_link(a: str, b: str) -> Column:
+    """Whether the weights that two texts share with no other prove that they are not similar.
+
+    With shares P and Q of either text's weight that the other may hold, J <= 1 / (1 / P + 1 / Q - 1)
+    (the sum is concave in the common weights); for texts without repeats the common shingles are
+    at most the lesser n - u, which bounds the Jaccard similarity.  Unknown weights prove nothing.
+    """
+    n, u, m, v = (F.col(f"{t}.{c}").cast("double") for t in (a, b) for c in "nu")
+    common = F.least(n - u, m - v)
+    plain = F.col(f"{a}.plain") & F.col(f"{b}.plain") & (common < THRESHOLD * (n + m - common) - 1e-6)
+    shares = (n - u) * (m - v) * (1 / THRESHOLD + 1) < n * (m - v) + m * (n - u) - 1e-6
+    return F.coalesce(plain | shares, F.lit(False))
 
 
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -210,11 +222,12 @@ def _unresolved(members: DataFrame, classes: DataFrame, elements: DataFrame) ->
     held = members.join(classes, members.id == classes.node, "left").select("bucket", "size", "hub", "id", F.coalesce("component", "id").alias("component"))
     mixed = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
     held = durable(held.join(mixed, "bucket").where("id != hub"))
-    large = held.where(F.col("size") > LARGE).select("bucket", "id")
-    if not large.isEmpty():
-        held = held.join(_provably_alone(large, elements), ["bucket", "id"], "left_anti")
+    ids = held.where(F.col("size") > LARGE).select("id").distinct()
+    held = held.join(_own_shares(ids, elements), "id", "left")
+    held = held.join(_provably_alone(held.where(F.col("size") > LARGE)), ["bucket", "id"], "left_anti")
     a, b = held.alias("a"), held.alias("b")
-    pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")))
+    open_ = (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & ~_cannot_link("a", "b")
+    pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & open_)
     return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
