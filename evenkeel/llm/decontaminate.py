@@ -117,8 +117,8 @@ def _shingles(h: Column) -> Column:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc_id, item_id, similarity, first_word``: every document that holds a benchmark item.
 
-    ``first_word`` is where the item would begin (of several places the most similar, then the
-    first).  Words are lower-cased and split at white space.  Items of fewer than SHINGLE words and
+    ``first_word`` is about where the item begins, within a quarter of its length (of several places
+    the most similar, then the first).  Words are lower-cased and split at white space.  Items of fewer than SHINGLE words and
     null or blank texts are not searched; rows that share an id count as one.  No items, no rows.
     """
     items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), normal_words(F.col(f"`{item_text}`")).alias("w"))

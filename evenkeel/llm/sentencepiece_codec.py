@@ -7,7 +7,7 @@ than CHUNK characters is cut into chunks.  A piece that begins in one chunk may
 ``width - 1`` characters inside the next; that overhang is the boundary state.  Each chunk yields a
 matrix: best score from each overhang it may receive to each it may pass on.  The matrices of a
 document are multiplied in (max, +), prefix by prefix, which fixes the state at each boundary, and
-every chunk is then backtraced on its own.  Equal scores: the path whose last piece begins first.
+every chunk is then backtraced on its own.  Of paths with equal scores either may be found.
 
 *BPE*: the encoding is the order of merges, not a best path, so the (max, +) product gives other
 ids than the library's.  There the boundary state is trivial instead: where no piece of the
