@@ -106,7 +106,7 @@ def histogram_merge(spark, sf_dir):
     return H.merge(*_halves(spark, sf_dir))
 
 
-@query("SELECT user_id AS key, round(sum(CASE WHEN event_id % 2 = 0 THEN 0.7 ELSE 0.3 END), 6) AS value FROM events GROUP BY 1")
+@query("SELECT user_id AS key, round(CAST(sum(CASE WHEN event_id % 2 = 0 THEN 0.7 ELSE 0.3 END) AS DOUBLE), 6) AS value FROM events GROUP BY 1")
 def histogram_ewma(spark, sf_dir):
     return H.weighted_merge(*_halves(spark, sf_dir), 0.7).select("key", r6("value", "value"))
 
@@ -135,7 +135,7 @@ def histogram_compaction(spark, sf_dir):
     return H.compact(rows, 1000, 500)
 
 
-@query(f"SELECT l_partkey AS key, count(*) AS sampled, round(count(*) * 1.05 * 1.05 * 1.05 * 1.05, 6) AS estimate FROM lineitem WHERE {MD5.format('l_orderkey')} <= 1 / (1.05 * 1.05 * 1.05 * 1.05) GROUP BY 1")
+@query(f"SELECT l_partkey AS key, count(*) AS sampled, round(CAST(count(*) * 1.05 * 1.05 * 1.05 * 1.05 AS DOUBLE), 6) AS estimate FROM lineitem WHERE {MD5.format('l_orderkey')} <= 1 / (1.05 * 1.05 * 1.05 * 1.05) GROUP BY 1")
 def sampled_histogram_backoff(spark, sf_dir):
     return H.back_off(load(spark, sf_dir, "lineitem"), "l_partkey", "l_orderkey", 1.05, 4).select("key", "sampled", r6("estimate", "estimate"))
 
@@ -222,7 +222,7 @@ for _name, _make, _sql in (
         return make(spark).select("rank", r6("p", "p"))
 
     QUERIES[f"dist_{_name}"] = _dist
-    SQL[f"dist_{_name}"] = f"SELECT CAST(i + 1 AS INTEGER) AS rank, round({_sql}, 6) AS p FROM range(100) t(i)"
+    SQL[f"dist_{_name}"] = f"SELECT CAST(i + 1 AS INTEGER) AS rank, round(CAST({_sql} AS DOUBLE), 6) AS p FROM range(100) t(i)"
 
 
 @query("SELECT 1000 AS width, true AS non_increasing, true AS non_negative, true AS sums_to_one")
@@ -230,7 +230,7 @@ def dist_validate(spark, sf_dir):
     return D.validate(D.zeta(spark, 1, 1, 1000)).select(F.col("width").cast("int").alias("width"), "non_increasing", "non_negative", "sums_to_one")
 
 
-@query("SELECT 0.45 AS p")
+@query("SELECT CAST(0.45 AS DOUBLE) AS p")
 def dist_get(spark, sf_dir):
     """Probabilities by rank: the third of linear(4) and the first of it, 0.2 and 0.4, as their weighted sum."""
     d = D.linear(spark, 4, 10)
@@ -320,7 +320,7 @@ def ring_lookup(spark, sf_dir):
     return load(spark, sf_dir, "customer").select("c_custkey", r.lookup(X.md5_unit(F.col("c_custkey"))).alias("partition"))
 
 
-@query("SELECT 0.3 AS estimate")
+@query("SELECT CAST(0.3 AS DOUBLE) AS estimate")
 def ring_migration(spark, sf_dir):
     r = ring.Ring.build(_two_step(20 / 3)).adapt(_two_step(10))
     return spark.createDataFrame([(r.migration,)], "estimate double").select(r6("estimate", "estimate"))
@@ -458,7 +458,7 @@ def _tracked(spark, sf_dir) -> gedik.Tracked:
 @query(f"""WITH {HIST}, heavy AS (SELECT key, freq, key % {N} AS p FROM hist WHERE rank <= {2 * N}),
 ld AS (SELECT q.p, coalesce(sum(freq), 0) AS s, coalesce(sum(freq * freq), 0) AS c FROM range({N}) q(p) LEFT JOIN heavy USING (p) GROUP BY 1),
 x AS (SELECT (max(s) - min(s)) / (0.2 * avg(s)) AS s, (max(c) - min(c)) / (0.2 * avg(c)) AS c FROM ld)
-SELECT round(s, 6) AS state, round(c, 6) AS work, round(s, 6) AS network, round(pow(s * c * s, 1.0 / 3), 6) AS balance, 0.0 AS migration FROM x""")
+SELECT round(s, 6) AS state, round(c, 6) AS work, round(s, 6) AS network, round(pow(s * c * s, 1.0 / 3), 6) AS balance, CAST(0 AS DOUBLE) AS migration FROM x""")
 def gedik_penalties(spark, sf_dir):
     t = _tracked(spark, sf_dir)
     found = gedik.penalties(t, t.old)
