@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from evenkeel.llm.common import SPACE, durable, let, small, take_head
 
 RUN, RUN_WORDS, UNIT_WORDS = 3, 15, 12
-#: Repeated runs, or documents that lose text, that may be broadcast; more are joined by shuffling.
+#: Documents that lose text that may be broadcast; more are joined by shuffling.
 BROADCAST_ROWS = 500_000
 _WORD = f"[^{SPACE[1:]}"
 #: Words that end no sentence and are followed by blanks, and then a word with what follows it.
@@ -54,7 +54,8 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     texts = docs.where("doc_id is not null and text is not null")
     runs = texts.select("doc_id", F.inline(_runs(units(F.col("text"))))).drop("n")
     seen = runs.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = runs.join(small(durable(seen), BROADCAST_ROWS), ["h1", "h2"]).where(F.struct("doc_id", "place") != F.col("first"))
+    # Repeated runs grow with the corpus, so this join is by shuffling at every size.
+    again = runs.join(durable(seen), ["h1", "h2"]).where(F.struct("doc_id", "place") != F.col("first"))
     covered = F.flatten(F.transform(F.collect_list("place"), lambda p: F.sequence(p, p + (RUN - 1))))
     return again.groupBy("doc_id").agg(F.array_distinct(covered).alias("removed"))
 
