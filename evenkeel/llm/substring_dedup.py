@@ -2,11 +2,12 @@
 
 A text is divided into sentences, which end at ``.``, ``!`` or ``?`` before white space, or at a line
 break; a sentence of more than UNIT_WORDS words is divided further, from its beginning, so that a
-long one can be covered in parts.  Every run of RUN consecutive units with RUN_WORDS words or more
-is hashed (two 64-bit hashes of its units, outer white space apart).  Of a run that occurs more than
-once, anywhere, the first occurrence by (doc_id, place) stays; units covered by any other occurrence
-of any run are removed.  A passage of more than 50 words that begins with a sentence is so removed
-whole from all but its first place.
+long one can be covered in parts.  A run is RUN consecutive units, or as many more as it takes to have
+RUN_WORDS words: the shortest such from every unit on, and the shortest up to every unit, are hashed
+(two 64-bit hashes of the units, outer white space apart).  Equal runs have equally many units.  Of a
+run that occurs more than once, anywhere, the first occurrence by (doc_id, place) stays; units covered
+by any other occurrence of any run are removed.  A passage of more than 50 words that begins with a
+sentence is so removed whole from all but its first place, however short its sentences.
 
 Hashes are counted with partial sums, so a passage in a third of all documents is one row a task.
 """
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import SPACE, durable, let, small, take_head
+from evenkeel.llm.common import SPACE, durable, let, small
 
 RUN, RUN_WORDS, UNIT_WORDS = 3, 15, 12
 #: Documents that lose text that may be broadcast; more are joined by shuffling.
@@ -32,31 +33,58 @@ def units(text: Column) -> Column:
 
 
 def _runs(parts: Column) -> Column:
-    """(place, h1, h2) of each run that has enough words."""
+    """(place, size, h1, h2) of each run; size: how many units it has."""
 
     def hashed(u: Column) -> Column:
         own = F.regexp_replace(u, f"^{SPACE}+|{SPACE}+$", "")
         return F.struct(F.xxhash64(own).alias("a"), F.xxhash64(F.lit(1), own).alias("b"), F.size(F.split(own, f"{SPACE}+")).alias("n"))
 
-    def run(h: Column, x: Column, i: Column) -> Column:
-        rest = [h[i + j] for j in range(1, RUN)]
-        n = x["n"]
-        for r in rest:
-            n = n + r["n"]
-        return F.struct(i.alias("place"), F.xxhash64(x["a"], *(r["a"] for r in rest)).alias("h1"), F.xxhash64(x["b"], *(r["b"] for r in rest)).alias("h2"), n.alias("n"))
+    def enough(s: Column) -> Column:
+        return (s["size"] >= RUN) & (s["n"] >= RUN_WORDS)
 
-    found = let(F.transform(parts, hashed), lambda h: F.transform(take_head(h, F.size(h) - (RUN - 1)), lambda x, i: run(h, x, i)))
-    return F.filter(found, lambda r: r["n"] >= RUN_WORDS)
+    def lengthened(near: Column) -> Column:
+        """size and words of the shortest run that begins ``near``; of all of it where none has enough."""
+        start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("n"))
+        return F.aggregate(near, start, lambda s, x: F.when(enough(s), s).otherwise(F.struct((s["size"] + 1).alias("size"), (s["n"] + x["n"]).alias("n"))))
+
+    def run(h: Column, place: Column, size: Column) -> Column:
+        own = F.slice(h, place + 1, size)
+        hashes = (F.xxhash64(F.transform(own, lambda x: x[k])).alias(f"h{j}") for j, k in ((1, "a"), (2, "b")))
+        return F.struct(place.alias("place"), size.alias("size"), *hashes)
+
+    def first_run(h: Column, i: Column) -> Column:
+        rest = [h[i + j] for j in range(RUN)]
+        n = sum((r["n"] for r in rest[1:]), rest[0]["n"])
+        hashes = (F.xxhash64(*(r[k] for r in rest)).alias(f"h{j}") for j, k in ((1, "a"), (2, "b")))
+        plain = F.struct(i.alias("place"), F.lit(RUN).alias("size"), *hashes)
+        longer = let(lengthened(F.slice(h, i + 1, RUN_WORDS)), lambda s: F.when(enough(s), run(h, i, s["size"])))
+        return F.when(n >= RUN_WORDS, plain).otherwise(longer)
+
+    def last_run(h: Column, i: Column) -> Column:
+        """The shortest run that ends RUN units from place i, unless a shorter one begins where it begins."""
+        n = sum((h[i + j]["n"] for j in range(1, RUN)), h[i]["n"])
+        end = i + RUN
+        begin = F.greatest(end - RUN_WORDS, F.lit(0))
+        near = F.reverse(F.slice(h, begin + 1, end - begin))
+        fresh = lambda s: enough(s) & (s["size"] > RUN) & (s["n"] - h[end - 1]["n"] >= RUN_WORDS)
+        return F.when(n < RUN_WORDS, let(lengthened(near), lambda s: F.when(fresh(s), run(h, end - s["size"], s["size"]))))
+
+    def both(h: Column) -> Column:
+        places = F.when(F.size(h) >= RUN, F.sequence(F.lit(0), F.size(h) - RUN)).otherwise(F.array().cast("array<int>"))
+        found = lambda p, f: F.filter(F.transform(p, lambda i: f(h, i)), lambda r: r.isNotNull())
+        return let(places, lambda p: F.concat(found(p, first_run), found(p, last_run)))
+
+    return let(F.transform(parts, hashed), both)
 
 
 def repeated_units(docs: DataFrame) -> DataFrame:
     """``doc_id, removed``: places of the units to remove, of the documents that have any."""
     texts = docs.where("doc_id is not null and text is not null")
-    runs = texts.select("doc_id", F.inline(_runs(units(F.col("text"))))).drop("n")
+    runs = texts.select("doc_id", F.inline(_runs(units(F.col("text")))))
     seen = runs.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     # Repeated runs grow with the corpus, so this join is by shuffling at every size.
     again = runs.join(durable(seen), ["h1", "h2"]).where(F.struct("doc_id", "place") != F.col("first"))
-    covered = F.flatten(F.transform(F.collect_list("place"), lambda p: F.sequence(p, p + (RUN - 1))))
+    covered = F.flatten(F.transform(F.collect_list(F.struct("place", "size")), lambda r: F.sequence(r["place"], r["place"] + r["size"] - 1)))
     return again.groupBy("doc_id").agg(F.array_distinct(covered).alias("removed"))
 
 

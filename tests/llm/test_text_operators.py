@@ -95,6 +95,20 @@ def test_passages(spark):
     assert prose(35, 22) in got[1].text and prose(35, 23) in got[1].text
 
 
+@pytest.mark.parametrize("sizes", [(4,), (1,), (9, 1, 1, 1, 1, 1)])
+def test_passages_of_short_sentences(spark, sizes):
+    words, sentences = prose(66, 30).split(), []
+    while len(words) >= max(sizes):
+        n = sizes[len(sentences) % len(sizes)]
+        sentences.append(" ".join(words[:n]) + ".")
+        words = words[n:]
+    passage = " ".join(sentences)
+    texts = [f"{prose(35, 20)}. {passage} {prose(35, 21)}.", f"{prose(35, 22)}. {passage} {prose(35, 23)}.", passage, prose(35, 24)]
+    got = {r.doc_id: r for r in substring_dedup.dedup_passages(frame(spark, texts)).collect()}
+    assert got[0].text == texts[0] and got[3].text == texts[3]
+    assert got[1].text == f"{prose(35, 22)}. {prose(35, 23)}." and got[2].text == ""
+
+
 def test_units_are_the_text(odd):
     some = odd.where(F.regexp_like("text", F.lit("[^ \n\t]")))
     assert some.where(F.array_join(substring_dedup.units(F.col("text")), "") != F.col("text")).isEmpty()
