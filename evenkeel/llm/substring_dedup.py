@@ -1,13 +1,17 @@
 """Repeated passages: sliding runs of sentences, hashed, joined over all documents, and cut out.
 
 A text is divided into sentences, which end at ``.``, ``!`` or ``?`` before white space, or at a line
-break; a sentence of more than UNIT_WORDS words is divided further, from its beginning, so that a
-long one can be covered in parts.  A run is RUN consecutive units, or as many more as it takes to have
-RUN_WORDS words: the shortest such from every unit on, and the shortest up to every unit, are hashed
-(two 64-bit hashes of the units, outer white space apart).  Equal runs have equally many units.  Of a
-run that occurs more than once, anywhere, the first occurrence by (doc_id, place) stays; units covered
-by any other occurrence of any run are removed.  A passage of more than 50 words that begins with a
-sentence is so removed whole from all but its first place, however short its sentences.
+break.  Sentences are divided further where the words say so: after every word whose hash is 0 modulo
+CUT, and only where none comes for UNIT_WORDS words after UNIT_WORDS words.  So copies of a passage
+are divided alike from the first such word or sentence end on, wherever the passage begins.
+
+A run is RUN consecutive units, or as many more as it takes to have RUN_WORDS words: the shortest such
+from every unit on, and the shortest up to every unit, are hashed (two 64-bit hashes of the words,
+white space apart).  Equal runs have equally many units.  Of a run that occurs more than once,
+anywhere, the first occurrence by (doc_id, place) stays; units covered by any other occurrence of any
+run are removed.  A passage of more than 50 words that begins with a sentence and ends with one is so
+removed whole from all but its first place, however short its sentences; of one that begins or ends
+inside a sentence, the words before its first cut and after its last stay, CUT each on average at most.
 
 Hashes are counted with partial sums, so a passage in a third of all documents is one row a task.
 """
@@ -19,25 +23,54 @@ from pyspark.sql import functions as F
 
 from evenkeel.llm.common import SPACE, durable, let, small
 
-RUN, RUN_WORDS, UNIT_WORDS = 3, 15, 12
+RUN, RUN_WORDS, UNIT_WORDS, CUT = 3, 15, 12, 8
 #: Documents that lose text that may be broadcast; more are joined by shuffling.
 BROADCAST_ROWS = 500_000
 _WORD = f"[^{SPACE[1:]}"
-#: Words that end no sentence and are followed by blanks, and then a word with what follows it.
-_UNIT = f"{SPACE}*(?:{_WORD}*[^{SPACE[1:-1]}.!?][\\x20\\x09]+){{0,{UNIT_WORDS - 1}}}{_WORD}+{SPACE}*"
+_BLANK, _BREAK = " \t", "\n\x0b\x0c\r"
+
+
+def _pieces(text: Column) -> Column:
+    """The text's words with the white space behind them (and before the first)."""
+    return F.regexp_extract_all(text, F.lit(f"{SPACE}*{_WORD}+{SPACE}*"), F.lit(0))
+
+
+def _words(pieces: Column) -> Column:
+    """(h, cut) of each word: its hash, and whether a unit ends with it."""
+
+    def word(piece: Column, own: Column) -> Column:
+        sentence = F.right(own, F.lit(1)).isin(*".!?")
+        line = F.right(F.rtrim(piece, F.lit(_BLANK)), F.lit(1)).isin(*_BREAK)
+        return let(F.xxhash64(own), lambda h: F.struct(h.alias("h"), ((F.pmod(h, F.lit(CUT)) == 0) | sentence | line).alias("cut")))
+
+    return F.transform(pieces, lambda p: let(F.trim(p, F.lit(_BLANK + _BREAK)), lambda own: word(p, own)))
+
+
+def _spans(words: Column) -> Column:
+    """(begin, n) of each unit: its first word's number and how many it has."""
+
+    def spans(ends: Column) -> Column:
+        begins = F.concat(F.array(F.lit(0)), ends)
+        return F.flatten(F.transform(ends, lambda e, i: F.transform(F.sequence(begins[i], e - 1, F.lit(UNIT_WORDS)), lambda b: F.struct(b.alias("begin"), F.least(e - b, F.lit(UNIT_WORDS)).alias("n")))))
+
+    last = lambda i: i == F.size(words) - 1
+    return let(F.filter(F.transform(words, lambda w, i: F.when(w["cut"] | last(i), i + 1)), lambda e: e.isNotNull()), spans)
 
 
 def units(text: Column) -> Column:
     """The text's units with their white space: put together they are the text.  None without a word."""
-    return F.regexp_extract_all(text, F.lit(_UNIT), F.lit(0))
+    return let(_pieces(text), lambda p: F.transform(let(_words(p), _spans), lambda u: F.array_join(F.slice(p, u["begin"] + 1, u["n"]), "")))
 
 
-def _runs(parts: Column) -> Column:
+def _runs(text: Column) -> Column:
     """(place, size, h1, h2) of each run; size: how many units it has."""
 
-    def hashed(u: Column) -> Column:
-        own = F.regexp_replace(u, f"^{SPACE}+|{SPACE}+$", "")
-        return F.struct(F.xxhash64(own).alias("a"), F.xxhash64(F.lit(1), own).alias("b"), F.size(F.split(own, f"{SPACE}+")).alias("n"))
+    def hashed(words: Column) -> Column:
+        def unit(u: Column) -> Column:
+            own = F.transform(F.slice(words, u["begin"] + 1, u["n"]), lambda w: w["h"])
+            return let(own, lambda o: F.struct(F.xxhash64(o).alias("a"), F.xxhash64(F.lit(1), o).alias("b"), u["n"].alias("n")))
+
+        return F.transform(_spans(words), unit)
 
     def enough(s: Column) -> Column:
         return (s["size"] >= RUN) & (s["n"] >= RUN_WORDS)
@@ -74,13 +107,13 @@ def _runs(parts: Column) -> Column:
         found = lambda p, f: F.filter(F.transform(p, lambda i: f(h, i)), lambda r: r.isNotNull())
         return let(places, lambda p: F.concat(found(p, first_run), found(p, last_run)))
 
-    return let(F.transform(parts, hashed), both)
+    return let(let(_words(_pieces(text)), hashed), both)
 
 
 def repeated_units(docs: DataFrame) -> DataFrame:
     """``doc_id, removed``: places of the units to remove, of the documents that have any."""
     texts = docs.where("doc_id is not null and text is not null")
-    runs = texts.select("doc_id", F.inline(_runs(units(F.col("text")))))
+    runs = texts.select("doc_id", F.inline(_runs(F.col("text"))))
     seen = runs.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     # Repeated runs grow with the corpus, so this join is by shuffling at every size.
     again = runs.join(durable(seen), ["h1", "h2"]).where(F.struct("doc_id", "place") != F.col("first"))

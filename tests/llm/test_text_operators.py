@@ -109,6 +109,17 @@ def test_passages_of_short_sentences(spark, sizes):
     assert got[1].text == f"{prose(35, 22)}. {prose(35, 23)}." and got[2].text == ""
 
 
+def test_passages_that_begin_inside_a_sentence(spark):
+    r = random.Random(12)
+    plain = lambda n: [r.choice(VOCABULARY) for _ in range(n)]
+    cases = [(plain(60), plain(r.randint(20, 50)), plain(r.randint(20, 50))) for _ in range(60)]
+    texts = [" ".join(before + passage + plain(20)) for passage, *befores in cases for before in befores]
+    got = {x.doc_id: x.text.split() for x in substring_dedup.dedup_passages(frame(spark, texts)).collect()}
+    lost = [len(texts[i].split()) - len(got[i]) for i in range(1, 120, 2)]
+    assert all(got[i] == texts[i].split() for i in range(0, 120, 2)) and max(lost) <= 60
+    assert sum(n > 0 for n in lost) >= 57 and sum(lost) / 60 >= 40
+
+
 def test_units_are_the_text(odd):
     some = odd.where(F.regexp_like("text", F.lit("[^ \n\t]")))
     assert some.where(F.array_join(substring_dedup.units(F.col("text")), "") != F.col("text")).isEmpty()
