@@ -1,10 +1,15 @@
 """Benchmark decontamination by SimHash windows, multi-index Hamming search and exact verification.
 
-A benchmark item of n words is searched by windows of W words, the largest power of two up to
-(n + 1) / 2 (LONGEST at most, 4 at least).  Of the items every window is indexed; of the documents
-those that begin at multiples of W / 2.  So a run of 1.5 W - 1 words in common, from anywhere in the
-item, holds a document window that equals one of the item's; a passage with one changed word still
-has such a run unless the change is near its middle, where the radius takes over.
+A benchmark item of 15 words or more is searched by windows of W = 8 words, a shorter one by windows
+of 4.  Of the items every window is indexed; of the documents those that begin at multiples of W / 2.
+So a run of 1.5 W - 1 words in common (11, or 5), from anywhere in the item, holds a document window
+that equals one of the item's.
+
+THRESHOLD leaves such a run in every leak.  Of an item's n - 4 shingles K = floor(0.2 (n - 4)) may be
+missing.  A gap inside the item (words put in; changed words cost more) takes 4 at least, so what is
+left lies in c + 1 pieces, c = floor(K / 4) at most, and the longest has (n - 4 - K) / (c + 1) shingles
+or more: 12 words for n of 15 and more (24 words with one put in), and 5 or more for n below.  So
+equality alone finds every leak; the radius adds candidates.
 
 A fingerprint has 48 bits: the majority over the window's words of bits of their hashes.  Sums over
 words are kept in six longs of eight 8-bit lanes, so window sums are additions.  The bits form three
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 from evenkeel.llm.common import drop_head, durable, let, small, take_head, words
 
 SHINGLE, THRESHOLD = 5, 0.8
-RADIUS, LONGEST = 2, 32
+RADIUS, LONGEST = 2, 8
 #: Index rows that are broadcast at once (about 80 bytes each).
 SLICE = 300_000
 #: Candidate documents that may be broadcast; more are joined by shuffling.

@@ -354,6 +354,25 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.find_leaks(frame(spark, texts).limit(0), benchmark).count() == 0
 
 
+def test_leaks_with_changes_anywhere_equal_brute_force(spark):
+    items = [prose(n, 1700 + n) for n in (*range(5, 39), *range(63, 80))]
+    r = random.Random(13)
+    texts = []
+    for item in items:
+        w, n = item.split(), len(item.split())
+        edits = [[p] for p in range(n)] if n > 30 else [[p] for p in (0, n // 2, n - 1)]
+        edits += [sorted(r.sample(range(n), k)) for k in (2, 3) if n > 60 for _ in range(6)]
+        bodies = [[f"new{i}" if i in e else x for i, x in enumerate(w)] for e in edits] + [w[: n // 2] + ["put"] + w[n // 2 :], w[: n // 2] + w[n // 2 + 1 :]]
+        texts += [f"{prose(r.randint(20, 40), len(texts))} {' '.join(b)} {prose(20, 5000 + len(texts))}" for b in bodies]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(frame(spark, texts), benchmark).collect()}
+    held, want = [Counter(shingled(t)) for t in texts], set()
+    for i, item in enumerate(items):
+        s = shingled(item)
+        want |= {(d, i) for d, h in enumerate(held) if sum(min(c, h[k]) for k, c in s.items()) >= 0.8 * sum(s.values())}
+    assert len(want) > 1000 and got == want
+
+
 def test_fingerprints_within_the_radius_share_a_block():
     r = random.Random(6)
     for _ in range(500):
