@@ -124,7 +124,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
     ``first_word`` is about where the item begins, within a quarter of its length (of several places
     the most similar, then the first).  Words are lower-cased and split at white space.  Items of fewer than SHINGLE words and
-    null or blank texts are not searched; rows that share an id count as one.  No items, no rows.
+    null or blank texts are not searched.  Items that share an id count as one; a document's id is reported
+    if any of its rows holds the item.  No items, no rows.
     """
     items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), normal_words(F.col(f"`{item_text}`")).alias("w"))
     items = items.where(F.col("item_id").isNotNull()).dropDuplicates(["item_id"]).withColumn("n", F.size("w")).withColumn("size", window_size(F.col("n")))
@@ -161,15 +162,16 @@ def _candidates(hashed: DataFrame, index: DataFrame, sizes: list[int]) -> DataFr
 
 def _verified(source: DataFrame, items: DataFrame, candidates: DataFrame) -> DataFrame:
     spot = candidates.join(items.select("item_id", "n"), "item_id")
-    texts = source.join(small(candidates.select("doc_id").distinct(), BROADCAST_ROWS), "doc_id").dropDuplicates(["doc_id"])
-    texts = texts.select("doc_id", F.transform(normal_words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
+    # rows that share an id are verified each by its own text
+    texts = source.join(small(candidates.select("doc_id").distinct(), BROADCAST_ROWS), "doc_id").withColumn("own", F.xxhash64("text")).dropDuplicates(["doc_id", "own"])
+    texts = texts.select("doc_id", "own", F.transform(normal_words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
     slack = F.floor(F.col("n") / 4).cast("int")
     begin = F.greatest(F.col("at") - slack, F.lit(0))
     stretch = F.slice("h", begin + 1, F.greatest(F.col("at") + F.col("n") + slack - begin, F.lit(0)))
-    there = texts.join(spot, "doc_id").select("doc_id", "item_id", "at", F.explode(let(stretch, _shingles)).alias("s")).groupBy("doc_id", "item_id", "at", "s").agg(F.count("*").alias("c"))
+    there = texts.join(spot, "doc_id").select("doc_id", "own", "item_id", "at", F.explode(let(stretch, _shingles)).alias("s")).groupBy("doc_id", "own", "item_id", "at", "s").agg(F.count("*").alias("c"))
     wanted = items.select("item_id", F.explode(let(F.col("h"), _shingles)).alias("s")).groupBy("item_id", "s").agg(F.count("*").alias("want"))
     total = items.select("item_id", (F.col("n") - (SHINGLE - 1)).alias("total"))
-    held = there.join(wanted, ["item_id", "s"]).groupBy("doc_id", "item_id", "at").agg(F.sum(F.least("c", "want")).alias("held"))
+    held = there.join(wanted, ["item_id", "s"]).groupBy("doc_id", "own", "item_id", "at").agg(F.sum(F.least("c", "want")).alias("held"))
     scored = held.join(total, "item_id").withColumn("similarity", F.col("held") / F.col("total")).where(F.col("similarity") >= THRESHOLD)
     best = F.max(F.struct("similarity", (-F.col("at")).alias("at")))
     return scored.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.similarity", F.greatest(-F.col("b.at"), F.lit(0)).alias("first_word"))

@@ -373,6 +373,15 @@ def test_leaks_with_changes_anywhere_equal_brute_force(spark):
     assert len(want) > 1000 and got == want
 
 
+def test_leaks_in_rows_that_share_an_id(spark):
+    item = prose(30, 77)
+    texts = [prose(50, 78), item, prose(50, 79), prose(50, 80) + " " + item, prose(50, 81)]
+    benchmark = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    docs = frame(spark, texts + texts[::-1], [1, 1, 1, 2, 2] + [4, 4, 3, 3, 3])
+    got = decontaminate.find_leaks(docs, benchmark).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3, 4] and all(r.similarity == 1 for r in got)
+
+
 def test_fingerprints_within_the_radius_share_a_block():
     r = random.Random(6)
     for _ in range(500):
