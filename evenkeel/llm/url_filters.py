@@ -55,7 +55,9 @@ def intervals(entries: DataFrame) -> DataFrame:
     ``since`` belongs to the interval, ``until`` (null: no end) doesn't.  Of entries of one list and
     pattern at one time, ``remove`` holds.  Entries with a null in any column are ignored.
     """
-    known = entries.select("list", F.lower("pattern").alias("pattern"), "action", "at").dropna()
+    name = F.substring_index("pattern", "/", 1)  # hosts have no case, paths have
+    pattern = F.concat(F.lower(name), F.substring("pattern", F.length(name) + 1, F.length("pattern")))
+    known = entries.select("list", pattern.alias("pattern"), "action", "at").dropna()
     dated = known.groupBy("list", "pattern", "at").agg(F.max("action").alias("action"))
     following = Window.partitionBy("list", "pattern").orderBy("at")
     return dated.select("list", "pattern", F.col("at").alias("since"), F.lead("at").over(following).alias("until"), "action").where("action = 'add'").drop("action")

@@ -266,6 +266,13 @@ def test_url_filters_as_of(spark):
     assert not any(r.blocked for r in url_filters.judge(captures, lists.limit(0)).collect())
 
 
+def test_url_patterns_keep_the_case_of_paths(spark):
+    lists = spark.createDataFrame([("block", "Bad.ORG/Foo/", "add", 1), ("block", "WORSE.org", "add", 1), (None, "bad.org", "add", 1)], "list string, pattern string, action string, at int")
+    urls = [("http://bad.org/Foo/x", True), ("http://BAD.org/Foo/", True), ("http://bad.org/foo/x", False), ("http://bad.org/", False), ("http://a.worse.org/Foo", True)]
+    captures = spark.createDataFrame([(i, u, 2) for i, (u, _) in enumerate(urls)], "page_id int, url string, fetched_at int")
+    assert {r.page_id: r.blocked for r in url_filters.judge(captures, lists).collect()} == {i: b for i, (_, b) in enumerate(urls)}
+
+
 def test_url_filter_query_agrees_with_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{DATA}/pages.parquet'")
