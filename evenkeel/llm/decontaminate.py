@@ -48,7 +48,7 @@ def normal_words(text: Column) -> Column:
 
 
 def window_size(n: Column) -> Column:
-    """Window of an item of n words; null for items too short to be told from chance."""
+    """Window of an item of n words; null for items without a shingle, see ``_short_leaks``."""
     case = F.when(n < SHINGLE, F.lit(None).cast("int"))
     w = LONGEST
     while w > 4:
@@ -123,8 +123,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """``doc_id, item_id, similarity, first_word``: every document that holds a benchmark item.
 
     ``first_word`` is about where the item begins, within a quarter of its length (of several places
-    the most similar, then the first).  Words are lower-cased and split at white space.  Items of fewer than SHINGLE words and
-    null or blank texts are not searched.  Items that share an id count as one; a document's id is reported
+    the most similar, then the first).  Words are lower-cased and split at white space.  Items of fewer than SHINGLE words are
+    found only where they are a whole text or line; null and blank texts are not searched.  Items that share an id count as one; a document's id is reported
     if any of its rows holds the item.  No items, no rows.
     """
     items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), normal_words(F.col(f"`{item_text}`")).alias("w"))
@@ -132,6 +132,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     items = durable(items.where("size is not null").withColumn("h", F.transform("w", lambda x: F.xxhash64(x))).drop("w"))
     sizes = [r[0] for r in items.select("size").distinct().orderBy("size").collect()]
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(F.col("doc_id").isNotNull())
+    short = durable(_short_leaks(source, benchmark.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").alias("text"))))
+    if not sizes and not short.isEmpty():
+        return short
     if not sizes:
         return source.select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("first_word")).limit(0)
 
@@ -148,7 +151,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         some = index if slices == 1 else index.where(F.pmod(F.xxhash64("key"), F.lit(slices)) == part)
         near = _candidates(hashed, some, sizes)
         found = near if found is None else found.unionByName(near)
-    return _verified(source, items, durable(found.distinct()))
+    leaks = _verified(source, items, durable(found.distinct()))
+    return leaks if short.isEmpty() else leaks.unionByName(short)
+
+
+def _short_leaks(source: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Items of fewer than SHINGLE words that are a document's whole text or one of its lines."""
+    items = benchmark.where(F.col("item_id").isNotNull()).dropDuplicates(["item_id"]).select("item_id", normal_words(F.col("text")).alias("w"))
+    items = durable(items.where(F.size("w").between(1, SHINGLE - 1)))
+    rows = source.where("text is not null") if not items.isEmpty() else source.limit(0)
+    counted = F.transform(F.split("text", "\n"), normal_words)
+    whole = F.struct(F.lit(0).alias("first_word"), normal_words(F.col("text")).alias("w"))
+
+    def placed(lines: Column) -> Column:
+        few = lambda w: F.size(w).between(1, SHINGLE - 1)
+        hits = F.filter(F.transform(lines, lambda w, i: F.when(few(w), F.struct(i.alias("line"), w.alias("w")))), lambda x: x.isNotNull())
+        before = lambda i: F.aggregate(F.slice(lines, 1, i), F.lit(0), lambda n, w: n + F.size(w))
+        return F.transform(hits, lambda x: F.struct(before(x["line"]).alias("first_word"), x["w"].alias("w")))
+
+    found = rows.select("doc_id", F.inline(F.concat(let(counted, placed), F.filter(F.array(whole), lambda x: F.size(x["w"]) < SHINGLE))))
+    met = found.join(small(items, BROADCAST_ROWS), "w").groupBy("doc_id", "item_id").agg(F.min("first_word").alias("first_word"))
+    return met.select("doc_id", "item_id", F.lit(1.0).alias("similarity"), "first_word")
 
 
 def _candidates(hashed: DataFrame, index: DataFrame, sizes: list[int]) -> DataFrame:

@@ -380,6 +380,17 @@ def test_leaks_with_changes_anywhere_equal_brute_force(spark):
     assert len(want) > 1000 and got == want
 
 
+def test_items_without_a_shingle_are_found_as_texts_or_lines(spark):
+    short = [(1, "Too  short"), (2, "word"), (3, "one two three four"), (4, " "), (5, None)]
+    texts = ["too short", "a b c\n\n too SHORT \nd", "this is too short", " word\n", "one two\nthree four", "one two three four five", "", None, "too short\n" + prose(30, 7), "words"]
+    want = {(0, 1, 0), (1, 1, 3), (3, 2, 0), (4, 3, 0), (8, 1, 0)}
+    for items, more in ((short, set()), (short + [(6, prose(30, 7))], {(8, 6)})):
+        benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+        got = decontaminate.find_leaks(frame(spark, texts), benchmark).collect()
+        assert {(r.doc_id, r.item_id, r.first_word) for r in got if r.item_id < 6} == want and all(r.similarity == 1 for r in got)
+        assert {(r.doc_id, r.item_id) for r in got if r.item_id == 6} == more and len(got) == len(want) + len(more)
+
+
 def test_leaks_in_rows_that_share_an_id(spark):
     item = prose(30, 77)
     texts = [prose(50, 78), item, prose(50, 79), prose(50, 80) + " " + item, prose(50, 81)]
