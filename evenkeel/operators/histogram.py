@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from evenkeel.functions.hashing import md5_unit
 
@@ -60,9 +64,13 @@ def ranked(freqs: DataFrame, limit: int) -> DataFrame:
     return top.select(number.alias("rank"), "key", "freq")
 
 
-def merge(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``key, value``: sums over both histograms."""
-    return a.select("key", "value").unionByName(b.select("key", "value")).groupBy("key").agg(F.sum("value").alias("value"))
+def merge(a: DataFrame, b: DataFrame, f: Callable[[Column, Column], Column] | None = None, zero: float = 0.0) -> DataFrame:
+    """``key, value``: sums over both histograms, or with ``f``: f(b's value, a's or ``zero``) for b's keys, a's own value for the others."""
+    if f is None:
+        return a.select("key", "value").unionByName(b.select("key", "value")).groupBy("key").agg(F.sum("value").alias("value"))
+    x, y = a.select("key", F.col("value").alias("v1")), b.select("key", F.col("value").alias("v2"))
+    both = x.join(y, "key", "full_outer")
+    return both.select("key", F.when(F.col("v2").isNull(), F.col("v1")).otherwise(f(F.col("v2"), F.coalesce("v1", F.lit(zero)))).alias("value"))
 
 
 def weighted_merge(a: DataFrame, b: DataFrame, weight: float) -> DataFrame:
@@ -103,9 +111,31 @@ def back_off(rows: DataFrame, key: str, record: str, factor: float, steps: int)
 
 
 def throughput_gate(records: DataFrame, bound: int) -> DataFrame:
-    """Of ``task_id, seq, records_passed`` the snapshots since whose forerunner more than ``bound`` records passed."""
-    before = F.lag("records_passed", 1, 0).over(Window.partitionBy("task_id").orderBy("seq"))
-    return records.withColumn("delta", F.col("records_passed") - before).where(F.col("delta") >= bound)
+    """Of ``task_id, seq, records_passed`` the snapshots that a task sends, with ``delta``.
+
+    A snapshot is sent when ``bound`` records or more have passed since the last one that was sent;
+    ``delta`` is how many.  Snapshots of an empty histogram (``width`` 0, where there is that column) are
+    not looked at.  What is sent depends on what was sent before, so each task's snapshots are folded
+    in order, in batches: the state is one number.
+    """
+    if "width" in records.columns:
+        records = records.where("width > 0")
+    ordered = records.repartition("task_id").sortWithinPartitions("task_id", "seq")
+
+    def gate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, sent = None, 0
+        for pdf in batches:
+            keep, deltas = [], []
+            for i, (t, passed) in enumerate(zip(pdf.task_id, pdf.records_passed)):
+                if t != task:
+                    task, sent = t, 0
+                if passed - sent >= bound:
+                    keep.append(i)
+                    deltas.append(passed - sent)
+                    sent = passed
+            yield pdf.iloc[keep].assign(delta=deltas)
+
+    return ordered.mapInPandas(gate, StructType([*records.schema.fields, StructField("delta", LongType())]))
 
 
 def concept_drift(now: DataFrame, history: DataFrame, take: int, weight: float = 0.8, old: float = 0.5) -> DataFrame:
@@ -114,16 +144,28 @@ def concept_drift(now: DataFrame, history: DataFrame, take: int, weight: float =
     ``now`` and ``history`` are ``key, value``; the history set is the keys of history's ``take``
     largest.  Each of those that is no longer among now's ``take`` largest adds how far it fell:
     its place behind them (or the width, if it is gone) and its value below theirs.
+
+    Places come from a range-partitioned sort: a row's place is its number within its partition plus the
+    rows of the partitions before.  So only a row for each partition, with the history keys that it
+    holds, comes together.
     """
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("value"), "key")
-    placed = now.select("key", "value", (F.row_number().over(order) - 1).alias("place"))
-    size = placed.agg(F.count("*").alias("width"), F.min(F.when(F.col("place") < take, F.col("value"))).alias("min_top"))
-    past = history.orderBy(F.desc("value"), "key").limit(take).select("key")
-    lost = past.join(placed.where(F.col("place") < take), "key", "left_anti").join(placed, "key", "left").crossJoin(size)
-    fall = (F.coalesce("place", "width") - take) + (F.col("min_top") - F.coalesce("value", F.lit(0.0)))
-    sums = lost.agg(F.count("*").alias("lost"), F.coalesce(F.sum(fall), F.lit(0.0)).alias("current"))
+    past = history.orderBy(F.desc("value"), "key").limit(take).select(F.col("key").alias("k"))
+    sorted_ = now.join(F.broadcast(past), F.col("key") == F.col("k"), "left").orderBy(F.desc("value"), "key")
+    numbered = sorted_.select("key", "value", F.col("k").isNotNull().alias("known"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("i"))
+    mark = F.struct("key", "value", "i")
+    per = numbered.groupBy("p").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("known"), mark)).alias("hits"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    per = per.withColumn("before", before)
+    placed = F.flatten(F.collect_list(F.transform("hits", lambda h: F.struct((F.col("before") + h["i"]).alias("place"), h["value"].alias("value")))))
+    all_ = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("width"), placed.alias("hits"))
+    top = now.orderBy(F.desc("value")).limit(take).agg(F.min("value").alias("min_top"))
+    row = all_.crossJoin(top).crossJoin(past.agg(F.count("*").alias("known")))  # one row each
+    fallen = F.filter("hits", lambda h: h["place"] >= take)
+    gone = F.col("known") - F.size("hits")
+    fall = F.aggregate(fallen, F.lit(0.0), lambda s, h: s + (h["place"] - take + F.col("min_top") - h["value"])) + gone * (F.col("width") - take + F.col("min_top"))
+    row = row.select("width", "min_top", (F.size(fallen) + gone).cast("long").alias("lost"), F.coalesce(fall, F.lit(0.0)).alias("current"))
     most = ((F.col("min_top") - take + F.col("width")) + (F.col("min_top") - 2 * take + F.col("width"))) / 2 * take
-    row = size.crossJoin(sums).withColumn("maximum", most).withColumn("drift", F.col("current") / F.col("maximum"))
+    row = row.withColumn("maximum", most).withColumn("drift", F.col("current") / F.col("maximum"))
     return row.withColumn("drift_history", F.lit(weight) * old + F.lit(1 - weight) * F.col("drift"))
 
 
