@@ -72,19 +72,29 @@ def cumulative(dist: DataFrame) -> DataFrame:
     return rows.withColumn("lo", F.coalesce(F.lag("hi").over(ranks), F.lit(-1.0))).select("rank", "p", "lo", "hi")
 
 
-def draw(rows: DataFrame, dist: DataFrame, key: str = "event_id", into: str = "k") -> DataFrame:
-    """``rows`` with a rank drawn for each by the hash of its key: the rank whose interval holds it.
+def draw(rows: DataFrame, dist: DataFrame, key: str = "event_id", into: str = "k", unit: Column | None = None) -> DataFrame:
+    """``rows`` with a rank drawn for each by the hash of its key, or by ``unit``: the rank whose interval holds it.
 
     A range join as an equality join: ranks are listed under every cell of the unit interval that
     they touch (width + CELLS rows), rows look up their own cell.
     """
     cell = lambda c: F.floor(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)) * CELLS).cast("int")
     grid = cumulative(dist).where("lo < hi").select("rank", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("cell"))
-    drawn = rows.withColumn("_u", md5_unit(F.col(key))).withColumn("_cell", cell(F.col("_u")))
+    drawn = rows.withColumn("_u", md5_unit(F.col(key)) if unit is None else unit).withColumn("_cell", cell(F.col("_u")))
     hit = (F.col("_cell") == F.col("cell")) & (F.col("lo") < F.col("_u")) & (F.col("_u") <= F.col("hi"))
     return drawn.join(grid, hit).withColumn(into, F.col("rank")).drop("_u", "_cell", "rank", "lo", "hi", "cell")
 
 
+def get(dist: DataFrame, rank: int) -> DataFrame:
+    """One row ``p``: the probability of a rank (ranks begin at 1; null beyond the width)."""
+    return dist.agg(F.max(F.when(F.col("rank") == rank, F.col("p"))).alias("p"))
+
+
+def sample(spark: SparkSession, dist: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """``id, k``: n ranks drawn at random."""
+    return draw(spark.range(n), dist, unit=F.rand(seed), key="id")
+
+
 def empiric(draws: DataFrame, width: int, key: str = "k", by_rank: bool = False) -> DataFrame:
     """``rank, p``: relative frequencies of drawn ranks, in falling order or by rank (0 where none was drawn)."""
     spark = draws.sparkSession

@@ -91,3 +91,76 @@ def mmh3_unit(hash_code: Column) -> Column:
     x = _wrap(hash_code.cast("bigint") + OFFSET)
     signed = F.when(x >= 2**31, x - 2**32).otherwise(x)
     return (string_mmh3(signed.cast("string")) / F.lit(2147483647.0) + 1) / 2
+
+
+def _mixed_word(k: Column) -> Column:
+    return _times(_rotate(_times(k, C1), 15), C2)
+
+
+def _finished(h: Column, length: Column) -> Column:
+    return F.transform(F.array(_mix(h, length)), _final)[0].cast("int")
+
+
+def murmur3_int(value: Column, seed: int = 0) -> Column:
+    """The 32-bit murmur3 of an int's four bytes (signed int)."""
+    word = _wrap(value.cast("bigint"))
+    return _finished(_wrap(_times(_rotate(_mix(F.lit(seed).cast("bigint"), _mixed_word(word)), 13), 5) + ADD), F.lit(4).cast("bigint"))
+
+
+def murmur3_string(value: Column, seed: int = 0) -> Column:
+    """The 32-bit murmur3 of a string's UTF-8 bytes (signed int)."""
+    digits = F.hex(F.encode(value, "UTF-8"))
+    n = F.octet_length(value)
+    byte = lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("bigint")
+
+    def word(i: Column) -> Column:
+        return sum((F.shiftleft(byte(4 * i + j), 8 * j) for j in range(1, 4)), byte(4 * i))
+
+    start = F.lit(seed).cast("bigint")
+    whole = F.floor(n / 4).cast("int")
+    blocks = F.aggregate(F.sequence(F.lit(0), whole - 1), start, lambda h, i: _wrap(_times(_rotate(_mix(h, _mixed_word(word(i))), 13), 5) + ADD))
+    body = F.when(whole > 0, blocks).otherwise(start)
+    rest = sum((F.when(n % 4 > j, F.shiftleft(byte(4 * whole + j), 8 * j)).otherwise(0) for j in range(3)), F.lit(0).cast("bigint"))
+    return _finished(F.when(n % 4 > 0, _mix(body, _mixed_word(rest))).otherwise(body), n.cast("bigint"))
+
+
+def murmur3_text(key: Column) -> Column:
+    """:func:`murmur3_string` of a key as text; null stays null."""
+    return murmur3_string(text(key))
+
+
+def _rotated(x: int, r: int) -> int:
+    return (x << r | x >> 32 - r) & 0xFFFFFFFF
+
+
+def _avalanched(h: int) -> int:
+    h = (h ^ h >> 16) * F1 & 0xFFFFFFFF
+    h = (h ^ h >> 13) * F2 & 0xFFFFFFFF
+    return _signed(h ^ h >> 16)
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 32) if h >> 31 else h
+
+
+def _folded(words: list[int], seed: int, length: int) -> int:
+    h = seed
+    for k in words:
+        h ^= _rotated(k * C1 & 0xFFFFFFFF, 15) * C2 & 0xFFFFFFFF
+        h = (_rotated(h, 13) * 5 + ADD) & 0xFFFFFFFF
+    return _avalanched(h ^ length)
+
+
+def murmur3_pair(a: int, b: int) -> int:
+    """The 32-bit murmur3 of two ints as eight big-endian bytes: points of a ring are few, so in Python."""
+    words = [int.from_bytes((x & 0xFFFFFFFF).to_bytes(4, "big"), "little") for x in (a, b)]
+    return _folded(words, 0, 8)
+
+
+#: Fixed value: the seed of the JVM's hash code of a pair.
+PAIR_SEED = 0xCAFEBABE
+
+
+def pair_hash_code(a: int, b: int) -> int:
+    """The JVM hash code of a pair of ints."""
+    return _folded([a & 0xFFFFFFFF, b & 0xFFFFFFFF], PAIR_SEED, 2)

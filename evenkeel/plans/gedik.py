@@ -7,6 +7,7 @@ Scan costs K n evaluations, Redist K^2 n, Readj more, so the caller bounds K (2n
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -24,7 +25,7 @@ class Costs:
     state: Frequency = identity
     work: Frequency = identity
     theta: tuple[float, float, float] = (0.2, 0.2, 0.2)
-    utility: Callable[[float, float], float] = lambda balance, migration: balance + migration
+    utility: Callable[[float, float], float] = operator.add
 
     def loads(self, f: float) -> tuple[float, float, float]:
         return self.state(f), f * self.work(f), f
@@ -109,7 +110,8 @@ def redist(t: Tracked) -> dict:
         best = None
         for i, (key, f) in enumerate(left):
             for p in range(t.n):
-                u = t.costs.utility(balance.penalty_with([(p, f, 1)]), t.migration(moved + t.costs.state(f) * (p != t.old[key]))) / f
+                u = t.costs.utility(balance.penalty_with([(p, f, 1)]), t.migration(moved + t.costs.state(f) * (p != t.old[key])))
+                u = u / f if f > 0 else float("inf")  # keys without weight come last
                 if best is None or u < best[0]:
                     best = (u, i, p)
         _, i, p = best

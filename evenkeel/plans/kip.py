@@ -12,6 +12,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from evenkeel.functions import literals
 from evenkeel.functions.hashing import hash_partition, md5_unit
 from evenkeel.plans.cuts import Cut, water_fill
 from evenkeel.plans.ring import REPLICAS, Ring
@@ -64,6 +65,11 @@ def residual_weights(loads: list[float], depth: int = 31) -> tuple[float, list[f
     return level, [w / total for w in free] if total > 0 else [1 / n] * n
 
 
+def explicit_or(explicit: dict, key: Column, other: Column) -> Column:
+    """The explicit place of a key, else ``other``."""
+    return F.coalesce(literals.mapping(explicit, key), other) if explicit else other
+
+
 @dataclass(frozen=True)
 class KeyIsolator:
     """``explicit`` places for heavy keys, a ring for the others (a plain hash before the first update)."""
@@ -83,11 +89,8 @@ class KeyIsolator:
         return self.fallback(key, self.n) if self.ring is None else F.coalesce(self.ring.lookup(self.unit(key)), F.lit(0))
 
     def target(self, key: Column) -> Column:
-        """The partition of a key, an int in [0, n); the explicit map is a literal of at most 2n entries."""
-        if not self.explicit:
-            return self.internal(key)
-        items = [x for k, p in self.explicit.items() for x in (F.lit(k), F.lit(p))]
-        return F.coalesce(F.try_element_at(F.create_map(*items), key), self.internal(key))
+        """The partition of a key, an int in [0, n); the explicit places are a literal of at most 2n entries."""
+        return explicit_or(self.explicit, key, self.internal(key))
 
     def update(self, spark: SparkSession, cut: Cut) -> KeyIsolator:
         """The partitioner for a new histogram.  Old and ring places of heavy keys come from one small query."""
@@ -110,7 +113,12 @@ class KeyIsolator:
 
     def places(self, spark: SparkSession, keys: list) -> dict:
         """(target, internal place) of a few keys."""
-        if not keys:
-            return {}
-        rows = spark.createDataFrame([(k,) for k in keys], "k string" if isinstance(keys[0], str) else "k bigint")
-        return {r[0]: (r[1], r[2]) for r in rows.select("k", self.target(F.col("k")), self.internal(F.col("k"))).collect()}
+        return places(spark, keys, self.target, self.internal)
+
+
+def places(spark: SparkSession, keys: list, *targets: Callable[[Column], Column]) -> dict:
+    """What each of the column functions gives for a few keys."""
+    if not keys:
+        return {}
+    rows = spark.createDataFrame([(k,) for k in keys], "k string" if isinstance(keys[0], str) else "k bigint")
+    return {r[0]: tuple(r[1:]) for r in rows.select("k", *(t(F.col("k")) for t in targets)).collect()}

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import bisect
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evenkeel.functions.hashing import md5_unit
+from evenkeel.functions import literals
+from evenkeel.functions.hashing import md5_unit, murmur3_pair
 
 REPLICAS = 100
 
@@ -84,9 +86,9 @@ class Ring:
         return Ring(tuple(owners), tuple(weights), self.replicas, moved / self.slots)
 
     def lookup(self, unit: Column) -> Column:
-        """Partition of a unit hash: the slots are an array literal in the plan."""
+        """Partition of a unit hash: the slots are one array literal in the plan."""
         slot = F.pmod(F.floor(unit * self.slots), F.lit(self.slots)).cast("int")
-        return F.element_at(F.array(*(F.lit(o) for o in self.owners)), slot + 1)
+        return F.get(literals.array(list(self.owners), "int"), slot)
 
     def partition(self, unit: float) -> int:
         return self.owners[int(unit * self.slots) % self.slots]
@@ -133,6 +135,16 @@ class PointRing:
         placed = rows.select(md5_unit(F.concat_ws("|", "p", "r")).alias("u"), "p").collect()
         return cls(tuple(sorted({r.u: r.p for r in sorted(placed)}.items())))
 
+    @classmethod
+    def hashed(cls, n: int, replicas: int = REPLICAS, pair: Callable[[int, int], int] = murmur3_pair) -> PointRing:
+        """Points at ``pair(partition, replica)``, on the circle of signed ints; of equal ones the last holds."""
+        return cls(tuple(sorted({pair(p, r): p for p in range(n) for r in range(replicas)}.items())))
+
+    def target(self, value: Column) -> Column:
+        """The partition of a hash value, by binary search in two literals; null goes to partition 0."""
+        at = literals.lower_bound([float(x) for x, _ in self.points], value.cast("double"))
+        return F.when(value.isNull(), F.lit(0)).otherwise(F.get(literals.array([p for _, p in self.points], "int"), at % len(self.points)))
+
     def partition(self, unit: float) -> int:
         k = bisect.bisect_left(self.points, (unit, -1))
         return self.points[k % len(self.points)][1]
