@@ -8,11 +8,13 @@ the same and no second exchange is planned.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evenkeel.functions import literals
+
 TARGET = "target_partition"
 
 
@@ -22,9 +24,13 @@ def route(rows: DataFrame, n: int, target: Column) -> DataFrame:
 
 
 def skew_group_agg(rows: DataFrame, key: str, n: int, target: Callable[[Column], Column], **sums: str) -> DataFrame:
-    """``key`` and a sum for each ``name=column``: combined by (target, key) before and after the one exchange."""
-    keyed = rows.groupBy(F.col(key)).agg(*(F.sum(c).alias(a) for a, c in sums.items()))
-    return route(keyed, n, target(F.col(key))).drop(TARGET)
+    """``key``, a sum for each ``name=column``, and TARGET, where the partitioner has the key.
+
+    One exchange: sums are combined in each task before it, so a heavy key is a row a task there,
+    wherever it goes; the finished sums are not dealt out again.
+    """
+    summed = rows.groupBy(F.col(key)).agg(*(F.sum(c).alias(a) for a, c in sums.items()))
+    return summed.withColumn(TARGET, F.coalesce(target(F.col(key)).cast("int"), F.lit(0)))
 
 
 def skew_apply(rows: DataFrame, key: str, n: int, target: Callable[[Column], Column], run, schema: str) -> DataFrame:
@@ -32,11 +38,25 @@ def skew_apply(rows: DataFrame, key: str, n: int, target: Callable[[Column], Col
     return route(rows, n, target(F.col(key))).groupBy(TARGET, key).applyInPandas(run, schema)
 
 
-def skew_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, n: int, target: Callable[[Column], Column], how: str = "inner") -> DataFrame:
-    """Join on (target, key), both sides routed alike: their exchanges serve the join."""
-    a = route(left, n, target(F.col(left_key)))
-    b = route(right, n, target(F.col(right_key))).withColumnRenamed(TARGET, "_t")
-    return a.join(b, (F.col(TARGET) == F.col("_t")) & (F.col(left_key) == F.col(right_key)), how).drop(TARGET, "_t")
+def skew_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, n: int, target: Callable[[Column], Column], how: str = "inner", heavy: Iterable = (), spread: int | None = None) -> DataFrame:
+    """Join on (target, key), both sides routed alike: their exchanges serve the join.
+
+    ``heavy`` are keys too large for one partition of ``left``, as a histogram has them: their rows on
+    the left are dealt over ``spread`` partitions (all n by default), and their rows on the right are
+    repeated for each.  Only what repeats no unmatched right rows can do that.
+    """
+    spread = n if spread is None else max(1, min(spread, n))
+    hot = dict.fromkeys(heavy, 1)
+    if hot and how not in ("inner", "left", "left_outer", "leftouter", "left_semi", "semi", "leftsemi", "left_anti", "anti", "leftanti"):
+        raise ValueError(f"heavy keys of the left side can't be spread in a {how} join")
+    is_hot = lambda key: literals.mapping(hot, key).isNotNull() if hot else F.lit(False)
+    own = lambda key: F.coalesce(target(F.col(key)).cast("int"), F.lit(0))
+    salt = F.when(is_hot(F.col(left_key)), F.pmod(F.monotonically_increasing_id(), F.lit(spread)).cast("int")).otherwise(F.lit(0))
+    copies = F.when(is_hot(F.col(right_key)), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
+    a = left.withColumn(TARGET, F.pmod(own(left_key) + salt, F.lit(n))).repartitionById(n, F.col(TARGET))
+    b = right.withColumn("_c", F.explode(copies)).withColumn("_t", F.pmod(own(right_key) + F.col("_c"), F.lit(n))).drop("_c").repartitionById(n, F.col("_t"))
+    joined = a.join(b, (F.col(TARGET) == F.col("_t")) & (F.col(left_key) == F.col(right_key)), how)
+    return joined.drop(TARGET, "_t")
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, salts: int) -> DataFrame:

@@ -1,28 +1,34 @@
 """The decision loop: histograms of a version in, a partitioner of the next version out.
 
 Spark tasks cannot change their partitioner while a stage runs, so decisions take effect at the next
-job or micro-batch.  State lives on the driver, small; for streams it is keyed by batch id, so that
-a replayed batch gets the partitioner that it had.
+job or micro-batch.  State is small and lives on the driver; for streams it is also written to the
+shared folder, batch by batch, so that a replayed batch gets the partitioner that it had, after a
+restart too.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import logging
+import pickle
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evenkeel.functions.hashing import murmur3_pair, murmur3_text
 from evenkeel.operators import histogram as H
 from evenkeel.plans import gedik
 from evenkeel.plans.cuts import Cut, parallelism, water_fill
-from evenkeel.plans.kip import KeyIsolator
-from evenkeel.plans.ring import Ring
+from evenkeel.plans.kip import KeyIsolator, explicit_or, places
+from evenkeel.plans.ring import REPLICAS, PointRing
 
 log = logging.getLogger("evenkeel")
 ENABLED, ONCE, DISABLED = "enabled", "once", "disabled"
+#: Partitioners that a decider remembers.
+HISTORY = 20
 
 
 @dataclass(frozen=True)
@@ -36,7 +42,6 @@ class Settings:
     threshold: int = 2
     force_slots: bool = False
     optimize_parallelism: bool = False
-    min_gain: float = 0.0
     save_path: str | None = None
 
     @classmethod
@@ -52,43 +57,52 @@ class Settings:
 
 @dataclass(frozen=True)
 class Searched:
-    """A partitioner whose explicit places come from Scan, Redist or Readj; other keys follow the ring."""
+    """A partitioner whose explicit places come from Scan, Redist or Readj; other keys follow a ring of hashed points.
 
-    base: KeyIsolator
+    ``hashed`` gives a key's place on the circle of signed ints, ``pair`` a replica's; both can be
+    replaced.  A ring is built for the number of partitions when it is first asked for.
+    """
+
+    n: int
     search: str
+    explicit: dict = field(default_factory=dict)
     previous: dict = field(default_factory=dict)
+    replicas: int = REPLICAS
+    costs: gedik.Costs = gedik.Costs()
+    hashed: Callable[[Column], Column] = murmur3_text
+    pair: Callable[[int, int], int] = murmur3_pair
 
-    @property
-    def n(self) -> int:
-        return self.base.n
+    def internal(self, key: Column) -> Column:
+        return PointRing.hashed(self.n, self.replicas, self.pair).target(self.hashed(key))
 
     def target(self, key: Column) -> Column:
-        return self.base.target(key)
+        return explicit_or(self.explicit, key, self.internal(key))
 
     def update(self, spark: SparkSession, cut: Cut) -> Searched:
-        """All heavy keys of the cut are placed; a change of n builds the ring anew."""
+        """All heavy keys of the cut are placed; if n changes, keys are taken to be where the new ring has them."""
         n = cut.partitions
-        base = self.base if n == self.base.n and self.base.ring else KeyIsolator(n, ring=Ring.build([1 / n] * n))
+        base = self if n == self.n else replace(self, n=n, explicit={})
         keys = list(dict.fromkeys([k for k, _ in cut.heavy] + list(self.previous)))
-        where = base.places(spark, keys)
-        tracked = gedik.Tracked(cut.heavy, self.previous, {k: w[0] for k, w in where.items()}, {k: w[1] for k, w in where.items()}, n)
-        placed = gedik.SEARCHES[self.search](tracked)
-        from dataclasses import replace
-
-        return Searched(replace(base, explicit=placed), self.search, dict(cut.heavy))
+        where = places(spark, keys, base.target, base.internal)
+        tracked = gedik.Tracked(cut.heavy, self.previous, {k: w[0] for k, w in where.items()}, {k: w[1] for k, w in where.items()}, n, self.costs)
+        return replace(base, explicit=gedik.SEARCHES[self.search](tracked), previous=dict(cut.heavy))
 
 
 def make_partitioner(strategy: str, n: int) -> KeyIsolator | Searched:
     if strategy == "kip":
         return KeyIsolator(n)
     if strategy in gedik.SEARCHES:
-        return Searched(KeyIsolator(n), strategy)
+        return Searched(n, strategy)
     raise ValueError(f"unknown partitioner {strategy!r}: kip, scan, redist or readj")
 
 
 @dataclass
 class Decider:
-    """One stage's or stream's decisions.  ``trace`` records each as (version, outcome)."""
+    """One stage's or stream's decisions.
+
+    ``trace`` records each as (version, outcome), ``history`` the partitioners by version, the newest
+    HISTORY of them.  ``total_slots`` is asked before each decision, if it is given; ``slots`` holds else.
+    """
 
     spark: SparkSession
     slots: int
@@ -97,6 +111,8 @@ class Decider:
     partitioner: KeyIsolator | Searched | None = None
     arrived: dict = field(default_factory=dict)
     trace: list = field(default_factory=list)
+    history: list = field(default_factory=list)
+    total_slots: Callable[[], int] | None = None
 
     def __post_init__(self):
         self.partitioner = self.partitioner or make_partitioner(self.settings.strategy, self.slots)
@@ -127,9 +143,12 @@ class Decider:
             self.trace.append((self.version, "invalid"))
             self.arrived = {}
             return False
+        if self.total_slots is not None:
+            self.slots = self.total_slots()
         level = water_fill(heavy, self.slots, self.settings.depth).level
         n = parallelism(self.slots, level, heavy[0][1], self.settings.force_slots, self.settings.optimize_parallelism)
         cut = water_fill(heavy[: self.settings.multiplier * n], n, self.settings.depth)
+        self.history = [*self.history, (self.version, self.partitioner)][-HISTORY:]
         self.partitioner = self.partitioner.update(self.spark, cut)
         if self.settings.save_path:
             self.spark.createDataFrame([(f"{heavy[0][0]} ({self.version})",)], "value string").write.mode("append").text(self.settings.save_path)
@@ -144,54 +163,120 @@ class Decider:
 class StreamController:
     """``foreachBatch`` target: batch b is dealt by the partitioner made from the batches before it.
 
-    Histograms of batches are blended (``weight`` for the past).  ``work`` gets the routed batch.
-    The target expression of each batch id is remembered, so a replay deals as before and does not
-    count its rows twice.
+    Histograms of batches are blended (``weight`` for the past).  ``work`` gets the routed batch.  With
+    ``state`` (a folder that the stream keeps over restarts) what a batch was dealt by, and what came of
+    it, is written there when the batch is done; a controller begins with what the folder has.  So a
+    batch that is replayed is dealt as before, and its rows are not counted twice.  Records of the
+    newest ``keep`` batches stay, as Spark replays the last one only.
     """
 
     decider: Decider
     key: str
     work: Callable[[DataFrame, int], None]
     weight: float = 0.5
+    state: str | None = None
+    keep: int = 10
     seen: dict = field(default_factory=dict)
     blended: dict = field(default_factory=dict)
     records: dict = field(default_factory=dict)
+    drifts: list = field(default_factory=list)
+
+    def __post_init__(self):
+        if self.state:
+            self._restore()
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         from evenkeel.operators.routing import TARGET, route
 
         replay = batch_id in self.seen
-        used = self.seen.setdefault(batch_id, self.decider.partitioner)
+        used = self.seen.get(batch_id, self.decider.partitioner)
         routed = route(batch, used.n, used.target(F.col(self.key))).persist()
         try:
             self.work(routed, batch_id)
             if replay:
                 return
+            self.seen[batch_id] = used
             self.records[batch_id] = {r[0]: r[1] for r in routed.groupBy(TARGET).count().collect()}
-            top = H.exact(batch, self.key, H.size_limit(used.n, self.decider.settings.multiplier)).collect()
+            limit = H.size_limit(used.n, self.decider.settings.multiplier)
+            top = H.exact(batch, self.key, limit).collect()
             now = {r.key: r.freq for r in top}
             if self.blended:
+                self.drifts.append(drift(now, self.blended, used.n))
                 keys = self.blended.keys() | now.keys()
                 now = {k: self.weight * self.blended.get(k, 0.0) + (1 - self.weight) * now.get(k, 0.0) for k in keys}
-            heavy = sorted(now.items(), key=lambda x: (-x[1], str(x[0])))[: H.size_limit(used.n, self.decider.settings.multiplier)]
+            heavy = sorted(now.items(), key=lambda x: (-x[1], str(x[0])))[:limit]
             self.blended = dict(heavy)
             self.decider.decide(heavy)
+            self.forget(batch_id - self.keep + 1)
+            if self.state:
+                self._save(batch_id)
         finally:
             routed.unpersist()
 
+    def _save(self, batch_id: int) -> None:
+        own = {k: getattr(self.decider, k) for k in ("slots", "version", "partitioner", "trace", "history")}
+        held = {k: getattr(self, k) for k in ("seen", "blended", "records", "drifts")}
+        text = base64.b64encode(pickle.dumps((own, held))).decode()
+        self.decider.spark.createDataFrame([(batch_id, text)], "id long, state string").coalesce(1).write.mode("overwrite").parquet(f"{self.state}/batch={batch_id}")
+
+    def _restore(self) -> None:
+        spark = self.decider.spark
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.state)
+        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            return
+        last = spark.read.schema("id long, state string").parquet(f"{self.state}/*").orderBy(F.desc("id")).limit(1).collect()
+        for row in last:  # written by this class in the stream's own folder
+            own, held = pickle.loads(base64.b64decode(row.state))
+            self.decider.__dict__.update(own)
+            self.__dict__.update(held)
+
     def forget(self, before: int) -> None:
         """Drop remembered batches that can no longer be replayed."""
         self.seen = {b: p for b, p in self.seen.items() if b >= before}
+        self.records = {b: r for b, r in self.records.items() if b >= before}
 
     def describe(self) -> str:
         return json.dumps({"version": self.decider.version, "partitions": self.decider.partitioner.n, "trace": self.decider.trace})
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where streams and sinks of this session may write: the folder in ``spark.checkpoint.dir``, else a temporary one."""
-    import tempfile
+@dataclass
+class StreamState:
+    """The controllers of a stream's stages, by name; each keeps its state in a folder of its own."""
+
+    spark: SparkSession
+    slots: int
+    settings: Settings = Settings()
+    state: str | None = None
+    stages: dict = field(default_factory=dict)
+
+    def stage(self, name: str, key: str, work: Callable[[DataFrame, int], None]) -> StreamController:
+        """The stage's controller, made when it is first asked for."""
+        if name not in self.stages:
+            own = f"{self.state}/{name}" if self.state else None
+            self.stages[name] = StreamController(Decider(self.spark, self.slots, self.settings), key, work, state=own)
+        return self.stages[name]
+
+
+def drift(now: dict, past: dict, take: int) -> float:
+    """How far the past's ``take`` heaviest keys fell, as a share of the most possible (see ``histogram.concept_drift``)."""
+    ranked = sorted(now.items(), key=lambda x: (-x[1], str(x[0])))
+    take = min(take, len(ranked))
+    if not take:
+        return 0.0
+    width, least = len(ranked), ranked[take - 1][1]
+    place = {k: i for i, (k, _) in enumerate(ranked)}
+    lost = [k for k, _ in sorted(past.items(), key=lambda x: (-x[1], str(x[0])))[:take] if place.get(k, width) >= take]
+    most = ((least - take + width) + (least - 2 * take + width)) / 2 * take
+    return sum(place.get(k, width) - take + least - now.get(k, 0.0) for k in lost) / most if most > 0 else 0.0
 
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evenkeel-")
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where streams and sinks of this session may write: ``spark.checkpoint.dir``, or on one machine the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir is not set: streams need a folder that all executors share")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/streams"
 
 
 def unique() -> str:
