@@ -7,6 +7,7 @@ so both engines see the same ones.  Doubles are rounded to 6 places in results o
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -106,6 +107,13 @@ def histogram_merge(spark, sf_dir):
     return H.merge(*_halves(spark, sf_dir))
 
 
+@query("""WITH h AS (SELECT user_id AS key, CAST(count(*) FILTER (WHERE event_id % 2 = 0) AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE event_id % 2 = 1) AS DOUBLE) AS b FROM events GROUP BY 1)
+SELECT key, CASE WHEN b = 0 THEN a ELSE greatest(b, a) + 0.5 END AS value FROM h""")
+def histogram_merge_any(spark, sf_dir):
+    """Merged by a function of one's own."""
+    return H.merge(*_halves(spark, sf_dir), f=lambda v2, v1: F.greatest(v2, v1) + 0.5)
+
+
 @query("SELECT user_id AS key, round(CAST(sum(CASE WHEN event_id % 2 = 0 THEN 0.7 ELSE 0.3 END) AS DOUBLE), 6) AS value FROM events GROUP BY 1")
 def histogram_ewma(spark, sf_dir):
     return H.weighted_merge(*_halves(spark, sf_dir), 0.7).select("key", r6("value", "value"))
@@ -140,11 +148,18 @@ def sampled_histogram_backoff(spark, sf_dir):
     return H.back_off(load(spark, sf_dir, "lineitem"), "l_partkey", "l_orderkey", 1.05, 4).select("key", "sampled", r6("estimate", "estimate"))
 
 
-@query("""WITH per AS (SELECT event_id % 4 AS task_id, event_id // 500 AS seq, count(*) AS n FROM events GROUP BY ALL),
-run AS (SELECT task_id, seq, CAST(sum(n) OVER (PARTITION BY task_id ORDER BY seq) AS BIGINT) AS records_passed, n AS delta FROM per)
-SELECT task_id, seq, records_passed, delta FROM run WHERE delta >= 125""")
+@query("""WITH RECURSIVE per AS (SELECT event_id % 4 AS task_id, event_id // 400 AS seq, count(*) AS n FROM events GROUP BY ALL),
+run AS (SELECT task_id, seq, CAST(sum(n) OVER w AS BIGINT) AS passed, row_number() OVER w AS i FROM per WINDOW w AS (PARTITION BY task_id ORDER BY seq)),
+gate AS (
+  SELECT DISTINCT task_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS sent, CAST(0 AS BIGINT) AS delta, false AS hit FROM per
+  UNION ALL
+  SELECT r.task_id, r.i, r.seq, CASE WHEN r.passed - g.sent >= 125 THEN r.passed ELSE g.sent END, r.passed - g.sent, r.passed - g.sent >= 125
+  FROM gate g JOIN run r ON r.task_id = g.task_id AND r.i = g.i + 1
+)
+SELECT task_id, seq, sent AS records_passed, delta FROM gate WHERE hit""")
 def throughput_gate(spark, sf_dir):
-    per = load(spark, sf_dir, "events").groupBy((F.col("event_id") % 4).alias("task_id"), F.floor(F.col("event_id") / 500).alias("seq")).agg(F.count("*").alias("n"))
+    """Snapshots 100 records apart, sent when 125 have passed since the last that was sent: every second one."""
+    per = load(spark, sf_dir, "events").groupBy((F.col("event_id") % 4).alias("task_id"), F.floor(F.col("event_id") / 400).alias("seq")).agg(F.count("*").alias("n"))
     passed = F.sum("n").over(Window.partitionBy("task_id").orderBy("seq"))
     return H.throughput_gate(per.select("task_id", "seq", passed.alias("records_passed")), 125)
 
@@ -230,11 +245,11 @@ def dist_validate(spark, sf_dir):
     return D.validate(D.zeta(spark, 1, 1, 1000)).select(F.col("width").cast("int").alias("width"), "non_increasing", "non_negative", "sums_to_one")
 
 
-@query("SELECT CAST(0.45 AS DOUBLE) AS p")
+@query("SELECT CAST(i AS INTEGER) AS rank, round((5.0 - i) / 10, 6) AS p FROM range(1, 5) t(i)")
 def dist_get(spark, sf_dir):
-    """Probabilities by rank: the third of linear(4) and the first of it, 0.2 and 0.4, as their weighted sum."""
+    """Probabilities by rank."""
     d = D.linear(spark, 4, 10)
-    return d.agg((F.sum(F.when(F.col("rank") == 3, F.col("p"))) * 0.25 + F.sum(F.when(F.col("rank") == 1, F.col("p")))).alias("p")).select(r6("p", "p"))
+    return reduce(DataFrame.unionByName, (D.get(d, i).select(F.lit(i).alias("rank"), r6("p", "p")) for i in range(1, 5)))
 
 
 @query(f"WITH {EV} SELECT event_id, k FROM ev")
@@ -329,7 +344,10 @@ def ring_migration(spark, sf_dir):
 GREEK = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
 
 
-@query()
+_GREEK_AT = [(5, 5), (4, 9), (2, 2), (3, 3), (6, 6), (4, 4), (1, 1), (0, 0), (0, 7), (0, 0), (4, 4), (2, 2)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{g}', {a}, {b})" for g, (a, b) in zip(GREEK, _GREEK_AT)) + ") t(key, before, after)")
 def ring_lookup_mmh3(spark, sf_dir):
     """Twelve keys by the exact string hash, before and after adaptation."""
     before = ring.Ring.build(_two_step(20 / 3))
@@ -431,7 +449,16 @@ def _isolator(spark, sf_dir, rows=None, base=None) -> kip.KeyIsolator:
     return (base or kip.KeyIsolator(N, fallback=X.modulo)).update(spark, cuts.water_fill(heavy, N, 10))
 
 
-@query()
+_HASHED = _STAY.replace(f"(key * 5 + 3) % {N} AS i", f"key % {N} AS i")
+_PLACED_SQL = f"""{_HASHED}, {_LEVEL},
+pts AS (SELECT p, CASE WHEN p = {N - 1} THEN {N * 100} ELSE round_even({N * 100} * sum(free) OVER (ORDER BY p) / (SELECT sum(free) FROM wt), 0) END AS hi FROM wt),
+arc AS (SELECT p, coalesce(max(hi) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, hi FROM pts)"""
+
+
+@query(f"""WITH RECURSIVE {HIST}, {_PLACED_SQL}, own AS (
+  SELECT CAST(coalesce(f.p, a.p) AS INTEGER) AS partition
+  FROM (SELECT k, floor({MD5.format("k")} * {N * 100}) AS slot FROM ev) e LEFT JOIN final f ON f.key = e.k JOIN arc a ON a.lo <= e.slot AND e.slot < a.hi
+) SELECT partition, CAST(count(*) AS DOUBLE) AS load FROM own GROUP BY 1""")
 def kip_lookup_loads(spark, sf_dir):
     """Loads of all events under key isolation: every key to exactly one partition."""
     return M.loads(zipf(spark, sf_dir), _isolator(spark, sf_dir).target(F.col("k")))
@@ -490,10 +517,12 @@ def gedik_readj(spark, sf_dir):
 
 @query()
 def gedik_demo(spark, sf_dir):
-    """Scan on 14 letters with two-step weights over 20 partitions."""
-    heavy = [(chr(97 + i), w) for i, w in enumerate(_two_step(20 / 3)[:14])]
-    t = gedik.Tracked(tuple(x for x in heavy if x[1] > 0), {}, {k: i % 20 for i, (k, _) in enumerate(heavy)}, {k: i % 20 for i, (k, _) in enumerate(heavy)}, 20)
-    return spark.createDataFrame(list(gedik.scan(t).items()), "key string, partition int")
+    """Scan on 14 letters with two-step weights over 20 partitions; a ring of 10 replicas, constant state and work."""
+    heavy = tuple((chr(97 + i), w) for i, w in enumerate(_two_step(20 / 3)[:14]))
+    points = ring.PointRing.hashed(20, 10, X.pair_hash_code)
+    at = {k: p for k, (p,) in kip.places(spark, [k for k, _ in heavy], lambda k: points.target(X.java_string_hash(k))).items()}
+    costs = gedik.Costs(lambda f: 1.0, lambda f: 1.0, (0.1, 0.1, 1.0))
+    return spark.createDataFrame(list(gedik.scan(gedik.Tracked(heavy, dict(heavy), at, at, 20, costs)).items()), "key string, partition int")
 
 
 # -- metrics and decisions ----------------------------------------------------------------------
@@ -587,6 +616,28 @@ def skew_join_agg(spark, sf_dir):
     return joined.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("revenue"))
 
 
+_KEYED_JOIN = f"WITH {EV} SELECT c_nationkey, count(*) AS n, round(sum(value), 2) AS total FROM ev JOIN customer ON c_custkey = k GROUP BY 1"
+
+
+def _customers(spark, sf_dir):
+    return load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("c"), "c_nationkey")
+
+
+@query(_KEYED_JOIN)
+def skew_join_hot(spark, sf_dir):
+    """The Zipf key's heavy keys are dealt over all partitions, and their customers repeated there."""
+    rows, part = zipf(spark, sf_dir).select("k", "value"), _isolator(spark, sf_dir)
+    heavy = [k for k, f in _heavy(spark, sf_dir, N) if f > 1 / N]
+    joined = R.skew_join(rows, _customers(spark, sf_dir), "k", "c", N, part.target, heavy=heavy)
+    return joined.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query(_KEYED_JOIN)
+def salted_join_agg(spark, sf_dir):
+    joined = R.salted_join(zipf(spark, sf_dir).select("k", "value"), _customers(spark, sf_dir).withColumnRenamed("c", "k"), "k", N)
+    return joined.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
 @query(f"WITH {EV} SELECT k, count(*) AS n, round(sum(value), 2) AS total FROM ev GROUP BY 1")
 def stream_foreach_batch(spark, sf_dir):
     """Events as a stream, a file a trigger, every micro-batch dealt by the partitioner of those before; totals by key."""

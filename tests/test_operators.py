@@ -79,7 +79,9 @@ def test_routing_places_rows_and_adds_no_second_exchange(spark):
     grouped = routed.groupBy(R.TARGET, "k").agg(F.sum("v").alias("v"))
     assert exchanges(grouped) == 1
     found = R.skew_group_agg(rows, "k", 5, lambda k: X.modulo(k, 5), v="v")
-    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.groupBy("k").agg(F.sum("v")).collect()))
+    assert exchanges(found) == 1
+    assert sorted(map(tuple, found.drop(R.TARGET).collect())) == sorted(map(tuple, rows.groupBy("k").agg(F.sum("v")).collect()))
+    assert all(r[R.TARGET] == r.k % 5 for r in found.collect())
 
 
 def test_null_keys_go_to_partition_0(spark):
@@ -103,6 +105,129 @@ def test_stream_controller_replays_without_counting_twice(spark):
     assert sum(control.records[0].values()) == 200
 
 
+def test_heavy_keys_of_a_join_are_spread(spark):
+    left = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 50).alias("k"), "id")
+    right = spark.createDataFrame([(i, f"x{i}") for i in range(40)] + [(7, "again"), (None, "none")], "c int, x string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = R.skew_join(left, right, "k", "c", 8, lambda k: X.modulo(k, 8), how, heavy=[7], spread=5)
+        want = left.join(right, F.col("k") == F.col("c"), how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), how
+    spread = R.skew_join(left, right, "k", "c", 8, lambda k: X.modulo(k, 8), heavy=[7])
+    per = spread.where("k = 7").groupBy(F.spark_partition_id()).count().collect()
+    assert len(per) == 8 and max(r[1] for r in per) < 2 * min(r[1] for r in per)
+    with pytest.raises(ValueError):
+        R.skew_join(left, right, "k", "c", 8, lambda k: X.modulo(k, 8), "full_outer", heavy=[7])
+
+
+def test_gate_remembers_what_was_sent(spark):
+    rows = [(t, s, 100 * (s + 1), 1) for t in (3, 4) for s in range(10)] + [(5, 0, 500, 0), (5, 1, 510, 2)]
+    got = H.throughput_gate(spark.createDataFrame(rows, "task_id int, seq int, records_passed long, width int"), 125)
+    assert sorted((r.task_id, r.seq, r.delta) for r in got.collect()) == [(t, s, 200) for t in (3, 4) for s in (1, 3, 5, 7, 9)] + [(5, 1, 510)]
+
+
+def test_drift_has_no_global_window_and_equals_the_loop(spark):
+    import random
+
+    r = random.Random(4)
+    for take, width in ((5, 40), (12, 30), (10, 200)):
+        now = {k: 1 + 30 * r.random() for k in r.sample(range(width + 20), width)}
+        past = {k: 1 + 30 * r.random() for k in r.sample(range(width + 20), width)}
+        frames = [spark.createDataFrame(list(x.items()), "key int, value double").repartition(3) for x in (now, past)]
+        row = H.concept_drift(*frames, take).first()
+        ranked = sorted(now.items(), key=lambda x: (-x[1], x[0]))
+        place = {k: i for i, (k, _) in enumerate(ranked)}
+        least = min(v for _, v in ranked[:take])
+        lost = [k for k, _ in sorted(past.items(), key=lambda x: (-x[1], x[0]))[:take] if place.get(k, len(now)) >= take]
+        assert row.width == len(now) and row.min_top == least and row.lost == len(lost)
+        assert row.current == pytest.approx(sum(place.get(k, len(now)) - take + least - now.get(k, 0.0) for k in lost))
+        if 2 * take <= width:
+            assert row.drift == pytest.approx(C.drift(now, past, take))
+
+
+def test_a_file_of_many_splits_is_numbered_in_order(spark, tmp_path):
+    from evenkeel.sources import simulator
+
+    n = 5000
+    (tmp_path / "keys.txt").write_text("".join(f"({i},X)\n" if i % 7 else f"({i},X)\nnone\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = simulator.read(spark, str(tmp_path / "keys.txt"), 300)
+        assert spark.read.text(str(tmp_path / "keys.txt")).rdd.getNumPartitions() > 5
+        assert {r.key: r.batch for r in got.collect()} == {i: i // 300 for i in range(n)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_random_draws_follow_the_distribution(spark):
+    dist = D.zeta(spark, 1, 1, 20)
+    drawn = {r.k: r[1] / 4000 for r in D.sample(spark, dist, 4000, 3).groupBy("k").count().collect()}
+    assert all(abs(drawn.get(r.rank, 0) - r.p) < 0.03 for r in dist.collect())
+    assert [D.get(dist, k).first().p for k in (1, 21)] == [dist.where("rank = 1").first().p, None]
+
+
+def test_naive_sampler_by_a_plain_loop(spark):
+    """Through Spark, two tasks: counts, decay at the boundaries and cuts, step by step."""
+    import random
+
+    keys = [(t, f"k{random.Random(t).randint(0, 9) if i % 3 else i}") for t in (0, 1) for i in range(300)]
+    got = S.sample(spark.createDataFrame(keys, "t int, k string").coalesce(1), "k", lambda seed: S.Naive(seed, scale=40, size=60, compaction=25), "t")
+    for t in (0, 1):
+        draw, counts, rate, bound, factor, passed = random.Random(t), {}, 1.0, 40, 0.0, 0
+        for own, k in keys:
+            if own != t:
+                continue
+            passed += 1
+            if rate < 1 and draw.random() > rate:
+                continue
+            factor += 1
+            counts[k] = counts.get(k, 0.0) + 1
+            if len(counts) >= bound:
+                rate, bound, factor = rate / 1.05, bound + 40, factor / 1.05
+                counts = {x: v / 1.05 for x, v in counts.items()}
+            if len(counts) > 60:
+                counts = dict(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:25])
+                bound = len(counts) + 40
+        rows = [r for r in got.collect() if r.task_id == t]
+        assert {r.key: r.value for r in rows} == pytest.approx(counts) and {(r.records_passed, r.width) for r in rows} == {(passed, len(counts))}
+        assert rows[0].normalization_factor == pytest.approx(factor) and rows[0].sample_rate == pytest.approx(rate)
+
+
+@pytest.mark.parametrize("strategy", ["kip", "scan"])
+def test_stream_controller_restarts_where_it_was(spark, tmp_path, strategy):
+    worked = []
+    state = f"file://{tmp_path}/state"
+
+    def start():
+        return C.StreamController(C.Decider(spark, 4, C.Settings(strategy=strategy)), "k", lambda batch, i: worked.append(sorted((r.k, r.target_partition) for r in batch.distinct().collect())), state=state, keep=2)
+
+    one = start()
+    batches = [spark.range(200).select((F.col("id") % (9 + b)).alias("k")) for b in range(3)]
+    for b, batch in enumerate(batches):
+        one(batch, b)
+    two = start()
+    assert (two.decider.version, two.blended, two.decider.trace) == (3, one.blended, one.decider.trace) and set(two.seen) == {1, 2}
+    two(batches[2], 2)
+    assert worked[3] == worked[2] and two.decider.version == 3 and len(two.drifts) == 2
+    assert [v for v, _ in two.decider.history] == [0, 1, 2]
+    keys = spark.range(50)
+    assert keys.where(two.decider.partitioner.target(F.col("id")) != one.decider.partitioner.target(F.col("id"))).isEmpty()
+    two(batches[0], 3)
+    assert two.decider.version == 4
+
+
+def test_stages_of_a_stream_have_controllers_of_their_own(spark):
+    stages = C.StreamState(spark, 4)
+    a = stages.stage("a", "k", lambda batch, i: None)
+    assert stages.stage("a", "k", lambda batch, i: None) is a and stages.stage("b", "k", lambda batch, i: None) is not a
+
+
+def test_decider_asks_for_the_slots(spark):
+    d = C.Decider(spark, 4, total_slots=lambda: 6)
+    assert d.decide([(1, 0.5), (2, 0.5)]) and d.partitioner.n == 6
+
+
 def test_unknown_strategy_is_an_error():
     with pytest.raises(ValueError):
         C.make_partitioner("other", 4)

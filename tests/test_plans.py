@@ -106,3 +106,111 @@ def test_searches_place_every_key_and_do_not_worsen_balance(search):
     assert placed.keys() == dict(current).keys() and set(placed.values()) <= set(range(4))
     assert gedik.penalties(t, placed)["balance"] <= gedik.penalties(t, t.old)["balance"]
     assert t.left() == pytest.approx(0.1)
+
+
+def test_exact_byte_hashes(spark):
+    ints = spark.createDataFrame([(0,), (1,), (42,), (-5,)], "i int")
+    assert [r[0] for r in ints.select(X.murmur3_int(F.col("i"))).collect()][:3] == [593689054, -68075478, -1134849565]
+    texts = ["a", "abcd", "", "abcde", "été 🙂", "1234567"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "s string").select(X.murmur3_string(F.col("s"))).collect()]
+    assert got[:2] == [1009084850, 1139631978]
+
+    def plain(data):
+        words = [int.from_bytes(data[i : i + 4], "little") for i in range(0, len(data) // 4 * 4, 4)]
+        h, rest = 0, data[len(data) // 4 * 4 :]
+        mixed = lambda k: ((k * X.C1 & 0xFFFFFFFF) << 15 | (k * X.C1 & 0xFFFFFFFF) >> 17) * X.C2 & 0xFFFFFFFF
+        for k in words:
+            h ^= mixed(k)
+            h = ((h << 13 | h >> 19) * 5 + X.ADD) & 0xFFFFFFFF
+        if rest:
+            h ^= mixed(int.from_bytes(rest, "little"))
+        h ^= len(data)
+        for shift, by in ((16, X.F1), (13, X.F2), (16, 1)):
+            h = (h ^ h >> shift) * by & 0xFFFFFFFF
+        return h - (1 << 32) if h >> 31 else h
+
+    assert got == [plain(t.encode()) for t in texts]
+    assert X.murmur3_pair(3, 77) == plain(bytes([0, 0, 0, 3, 0, 0, 0, 77]))
+
+
+def test_point_ring_takes_the_next_point_or_wraps(spark):
+    points = ring.PointRing.hashed(5, 7)
+    values = [points.points[0][0] - 1, points.points[0][0], points.points[3][0] + 1, points.points[-1][0], points.points[-1][0] + 1, -(2**31), 2**31 - 1]
+    want = [next((p for x, p in points.points if x >= v), points.points[0][1]) for v in values]
+    rows = spark.createDataFrame(list(enumerate(values + [None])), "i int, v long").withColumn("p", points.target(F.col("v")))
+    assert [r.p for r in rows.orderBy("i").collect()] == [*want, 0]
+
+
+def test_lookup_of_many_partitions_is_planned_fast(spark):
+    import time
+
+    n = 10_000
+    wide = kip.KeyIsolator(n, ring=ring.Ring.build([1 / n] * n), explicit={i: (i * 7) % n for i in range(2 * n)})
+    start = time.time()
+    got = spark.range(20_000, 21_000).unionByName(spark.range(50)).select("id", wide.target(F.col("id")).alias("p"), X.md5_unit(F.col("id")).alias("u")).collect()
+    assert time.time() - start < 20
+    assert all(r.p == ((r.id * 7) % n if r.id < 2 * n else wide.ring.partition(r.u)) for r in got)
+
+
+def test_explicit_places_of_any_text(spark):
+    odd = {"": 1, "a'b\"c": 2, "{}": 3, "é\n": 4, "null": 5}
+    rows = spark.createDataFrame([(k,) for k in [*odd, "other", None]], "k string")
+    got = {r.k: r.p for r in rows.withColumn("p", kip.explicit_or(odd, F.col("k"), F.lit(9))).collect()}
+    assert got == {**odd, "other": 9, None: 9}
+
+
+@pytest.mark.parametrize("search", sorted(gedik.SEARCHES))
+def test_searched_partitioner_keeps_other_keys_on_its_ring(spark, search):
+    from evenkeel.streaming.controller import Searched
+
+    first = Searched(4, search).update(spark, cuts.water_fill([(i, f) for i, (_, f) in enumerate(HEAVY)], 4, 10))
+    second = first.update(spark, cuts.water_fill([(9, 0.4), (1, 0.3), (2, 0.1)], 4, 10))
+    assert first.explicit.keys() == set(range(8)) and second.explicit.keys() == {9, 1, 2} and second.previous == {9: 0.4, 1: 0.3, 2: 0.1}
+    points = ring.PointRing.hashed(4)
+    keys = spark.range(300).select("id", second.target(F.col("id")).alias("p"), X.murmur3_text(F.col("id")).alias("h"))
+    for r in keys.collect():
+        assert r.p == (second.explicit[r.id] if r.id in second.explicit else next((p for x, p in points.points if x >= r.h), points.points[0][1]))
+
+
+def plain_penalty(placed, freqs, n):
+    out = 1.0
+    for weigh in (lambda f: f, lambda f: f * f, lambda f: f):
+        loads = [sum(weigh(freqs[k]) for k, p in placed.items() if p == q) for q in range(n)]
+        mean = sum(loads) / n
+        out *= (max(loads) - min(loads)) / (0.2 * mean) if mean else 0.0
+    return max(out, 0.0) ** (1 / 3)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_searches_equal_plain_loops(seed):
+    """Scan and Redist from their definitions; Readj: no single move or swap that lowers the penalty is left, or it is used up."""
+    r = random.Random(seed)
+    n = r.choice([2, 3, 4])
+    raw = sorted((r.random() ** 2 for _ in range(9)), reverse=True)
+    freqs = {i: x / sum(raw) for i, x in enumerate(raw)}
+    before = {20: 0.2, 21: 0.1, 3: 0.05}
+    old = {k: r.randrange(n) for k in (*freqs, *before)}
+    at = {k: r.randrange(n) for k in (*freqs, *before)}
+    t = gedik.Tracked(tuple(freqs.items()), before, old, at, n)
+    ideal = sum({**before, **freqs}.values()) / n
+    left = sum(f for k, f in before.items() if k not in freqs and old[k] != at[k])
+
+    def cost(placed):
+        return plain_penalty(placed, freqs, n) + (left + sum(freqs[k] for k, p in placed.items() if p != old[k])) / ideal
+
+    placed = {}
+    for k in freqs:
+        p = min(range(n), key=lambda p: (round(cost({**placed, k: p}), 9), p))
+        placed[k] = p
+    assert gedik.scan(t) == placed
+    placed = {}
+    while len(placed) < len(freqs):
+        k, p = min(((k, p) for k in freqs if k not in placed for p in range(n)), key=lambda x: (round(cost({**placed, x[0]: x[1]}) / freqs[x[0]], 9), x))
+        placed[k] = p
+    assert gedik.redist(t) == placed
+    found = gedik.readj(t, most=100)
+    start = {k: old[k] for k in freqs}
+    assert plain_penalty(found, freqs, n) <= plain_penalty(start, freqs, n) + 1e-9
+    moves = [{**found, k: p} for k in freqs for p in range(n) if p != found[k]]
+    moves += [{**found, a: found[b], b: found[a]} for a in freqs for b in freqs if found[a] != found[b]]
+    assert min(plain_penalty(m, freqs, n) for m in moves) >= plain_penalty(found, freqs, n) - 1e-9
