@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Word separators: ASCII white space.
 SPACE = "[\\x20\\x09-\\x0D]"
+#: What a table that grows with the data may take in memory and still be broadcast, in bytes.
+BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -35,18 +36,47 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What tells documents apart: the id (null ids last) and a hash of the text, so that rows which share an id but not a text are two."""
+    return F.struct(doc_id.isNull().alias("nameless"), doc_id.alias("id"), F.xxhash64(text).alias("own"))
+
+
+def labelled_texts(docs: DataFrame, few: DataFrame) -> DataFrame:
+    """``few``, a bounded table by ``doc_id``, with the ``text`` of its document: one row an id, of several texts the least."""
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id")
+    return durable(texts.groupBy(few.columns).agg(F.min("text").alias("text")))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage, kept in the shared folder that the cluster names.
 
-    The folder is read from ``spark.checkpoint.dir``; only where that is unset (tests) a
-    temporary one is used.  Files go when the frame is garbage collected, if the cluster says so.
+    The folder is ``spark.checkpoint.dir``, or the one that the context was given.  Without either
+    a session on one machine (``local``) uses its warehouse; on a cluster that is an error.  Files go
+    when the frame is garbage collected, if the cluster says so.
     """
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="evenkeel-checkpoint-"))
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has ``rows`` rows at most, else as it is.  Counts ``df``: make it durable first."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.AtomicType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType)):
+        return 16 + 8 * F.coalesce(F.size(value), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        return F.aggregate(F.coalesce(value, F.array().cast(kind)), F.lit(16), lambda n, x: n + _bytes(x, kind.elementType).cast("int"))
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return 16 + F.coalesce(F.octet_length(value), F.lit(0))
+    return F.lit(8)
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its values take ``most`` bytes at most, else as it is.  Adds up their sizes: make it durable first."""
+    width = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(width.cast("long"))).first()[0] or 0) <= most else df

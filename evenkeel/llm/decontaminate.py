@@ -31,14 +31,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import drop_head, durable, let, small, take_head, words
+from evenkeel.llm.common import drop_head, durable, let, row_key, small, take_head, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 RADIUS, LONGEST = 2, 8
 #: Index rows that are broadcast at once (about 80 bytes each).
 SLICE = 300_000
-#: Candidate documents that may be broadcast; more are joined by shuffling.
-BROADCAST_ROWS = 500_000
 _LANES = 0x0101010101010101
 _SUMS = 6
 
@@ -123,43 +121,49 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """``doc_id, item_id, similarity, first_word``: every document that holds a benchmark item.
 
     ``first_word`` is about where the item begins, within a quarter of its length (of several places
-    the most similar, then the first).  Words are lower-cased and split at white space.  Items of fewer than SHINGLE words are
-    found only where they are a whole text or line; null and blank texts are not searched.  Items that share an id count as one; a document's id is reported
-    if any of its rows holds the item.  No items, no rows.
+    the most similar, then the first).  Words are lower-cased and split at white space.  Items of fewer
+    than SHINGLE words are found only where they are a whole text or line; null and blank texts are not
+    searched.  Of rows that share an id every text is searched, of items that share one every text is
+    looked for; the ids are reported once, with the best of their places.  Null document ids are reported
+    as one id; items with a null id are left out.  No items, no rows.
     """
-    items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), normal_words(F.col(f"`{item_text}`")).alias("w"))
-    items = items.where(F.col("item_id").isNotNull()).dropDuplicates(["item_id"]).withColumn("n", F.size("w")).withColumn("size", window_size(F.col("n")))
-    items = durable(items.where("size is not null").withColumn("h", F.transform("w", lambda x: F.xxhash64(x))).drop("w"))
+    best = F.max(F.struct("similarity", (-F.col("first_word")).alias("at")))
+    found = _leaks(docs, benchmark, doc_id, text, item_id, item_text).groupBy(F.col("row.id").alias("doc_id"), "item_id").agg(best.alias("b"))
+    return found.select("doc_id", "item_id", "b.similarity", (-F.col("b.at")).alias("first_word"))
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str) -> DataFrame:
+    """``row, item_id, similarity, first_word``; row: see ``row_key``."""
+    given = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), normal_words(F.col(f"`{item_text}`")).alias("w")).where(F.col("item_id").isNotNull())
+    given = durable(given.distinct().withColumns({"item": F.monotonically_increasing_id(), "n": F.size("w"), "size": window_size(F.size("w"))}))
+    items = durable(given.where("size is not null").withColumn("h", F.transform("w", lambda x: F.xxhash64(x))).drop("w"))
     sizes = [r[0] for r in items.select("size").distinct().orderBy("size").collect()]
-    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(F.col("doc_id").isNotNull())
-    short = durable(_short_leaks(source, benchmark.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").alias("text"))))
-    if not sizes and not short.isEmpty():
-        return short
+    body = F.col(f"`{text}`").cast("string")
+    source = docs.select(row_key(F.col(f"`{doc_id}`"), body).alias("row"), body.alias("text")).where("text is not null")
+    short = durable(_short_leaks(source, given.where(F.col("n").between(1, SHINGLE - 1)).select("item_id", "w")))
     if not sizes:
-        return source.select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("first_word")).limit(0)
+        return short
 
     def dense(size: int) -> DataFrame:
-        return items.where(F.col("size") == size).select("item_id", F.inline(let(F.col("h"), lambda h: _windows(h, [size], True))))
+        return items.where(F.col("size") == size).select("item", F.inline(let(F.col("h"), lambda h: _windows(h, [size], True))))
 
     index = reduce(DataFrame.unionByName, map(dense, sizes))
-    index = durable(index.select("item_id", "place", "k0", "k1", "k2", F.inline(_block_keys(F.col("size"), [F.col(f"k{j}") for j in range(3)]))))
+    index = durable(index.select("item", "place", "k0", "k1", "k2", F.inline(_block_keys(F.col("size"), [F.col(f"k{j}") for j in range(3)]))))
     slices = max(1, -(-index.count() // SLICE))
 
-    hashed = source.select("doc_id", F.transform(normal_words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
+    hashed = source.select("row", F.transform(normal_words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
     found = None
     for part in range(slices):
         some = index if slices == 1 else index.where(F.pmod(F.xxhash64("key"), F.lit(slices)) == part)
         near = _candidates(hashed, some, sizes)
         found = near if found is None else found.unionByName(near)
-    leaks = _verified(source, items, durable(found.distinct()))
-    return leaks if short.isEmpty() else leaks.unionByName(short)
+    return _verified(source, items, durable(found.distinct())).unionByName(short)
 
 
-def _short_leaks(source: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Items of fewer than SHINGLE words that are a document's whole text or one of its lines."""
-    items = benchmark.where(F.col("item_id").isNotNull()).dropDuplicates(["item_id"]).select("item_id", normal_words(F.col("text")).alias("w"))
-    items = durable(items.where(F.size("w").between(1, SHINGLE - 1)))
-    rows = source.where("text is not null") if not items.isEmpty() else source.limit(0)
+def _short_leaks(source: DataFrame, items: DataFrame) -> DataFrame:
+    """Items of fewer than SHINGLE words (``item_id, w``) that are a document's whole text or one of its lines."""
+    items = durable(items)
+    rows = source if not items.isEmpty() else source.limit(0)
     counted = F.transform(F.split("text", "\n"), normal_words)
     whole = F.struct(F.lit(0).alias("first_word"), normal_words(F.col("text")).alias("w"))
 
@@ -169,38 +173,36 @@ def _short_leaks(source: DataFrame, benchmark: DataFrame) -> DataFrame:
         before = lambda i: F.aggregate(F.slice(lines, 1, i), F.lit(0), lambda n, w: n + F.size(w))
         return F.transform(hits, lambda x: F.struct(before(x["line"]).alias("first_word"), x["w"].alias("w")))
 
-    found = rows.select("doc_id", F.inline(F.concat(let(counted, placed), F.filter(F.array(whole), lambda x: F.size(x["w"]) < SHINGLE))))
-    met = found.join(small(items, BROADCAST_ROWS), "w").groupBy("doc_id", "item_id").agg(F.min("first_word").alias("first_word"))
-    return met.select("doc_id", "item_id", F.lit(1.0).alias("similarity"), "first_word")
+    found = rows.select("row", F.inline(F.concat(let(counted, placed), F.filter(F.array(whole), lambda x: F.size(x["w"]) < SHINGLE))))
+    met = found.join(small(items), "w").groupBy("row", "item_id").agg(F.min("first_word").alias("first_word"))
+    return met.select("row", "item_id", F.lit(1.0).alias("similarity"), "first_word")
 
 
 def _candidates(hashed: DataFrame, index: DataFrame, sizes: list[int]) -> DataFrame:
-    """(doc_id, item_id, at): documents' windows within RADIUS of an item's window; at: where the item would begin."""
-    windows = hashed.select("doc_id", F.inline(let(F.col("h"), lambda h: _windows(h, sizes, False))))
-    probes = windows.select("doc_id", "place", "k0", "k1", "k2", F.inline(_block_keys(F.col("size"), [F.col(f"k{j}") for j in range(3)])))
-    entry = index.select("item_id", F.col("place").alias("from"), "key", *(F.col(f"k{j}").alias(f"i{j}") for j in range(3)))
+    """(row, item, at): documents' windows within RADIUS of an item's window; at: where the item would begin."""
+    windows = hashed.select("row", F.inline(let(F.col("h"), lambda h: _windows(h, sizes, False))))
+    probes = windows.select("row", "place", "k0", "k1", "k2", F.inline(_block_keys(F.col("size"), [F.col(f"k{j}") for j in range(3)])))
+    entry = index.select("item", F.col("place").alias("from"), "key", *(F.col(f"k{j}").alias(f"i{j}") for j in range(3)))
     distance = sum((F.bit_count(F.col(f"k{j}").bitwiseXOR(F.col(f"i{j}"))) for j in range(1, 3)), F.bit_count(F.col("k0").bitwiseXOR(F.col("i0"))))
-    return probes.join(F.broadcast(entry), "key").where(distance <= RADIUS).select("doc_id", "item_id", (F.col("place") - F.col("from")).alias("at"))
+    return probes.join(F.broadcast(entry), "key").where(distance <= RADIUS).select("row", "item", (F.col("place") - F.col("from")).alias("at"))
 
 
 def _verified(source: DataFrame, items: DataFrame, candidates: DataFrame) -> DataFrame:
-    spot = candidates.join(items.select("item_id", "n"), "item_id")
-    # rows that share an id are verified each by its own text
-    texts = source.join(small(candidates.select("doc_id").distinct(), BROADCAST_ROWS), "doc_id").withColumn("own", F.xxhash64("text")).dropDuplicates(["doc_id", "own"])
-    texts = texts.select("doc_id", "own", F.transform(normal_words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
+    spot = candidates.join(small(items.select("item", "n")), "item")
+    texts = source.join(small(durable(candidates.select("row").distinct())), "row").dropDuplicates(["row"])
+    texts = texts.select("row", F.transform(normal_words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
     slack = F.floor(F.col("n") / 4).cast("int")
     begin = F.greatest(F.col("at") - slack, F.lit(0))
     stretch = F.slice("h", begin + 1, F.greatest(F.col("at") + F.col("n") + slack - begin, F.lit(0)))
-    there = texts.join(spot, "doc_id").select("doc_id", "own", "item_id", "at", F.explode(let(stretch, _shingles)).alias("s")).groupBy("doc_id", "own", "item_id", "at", "s").agg(F.count("*").alias("c"))
-    wanted = items.select("item_id", F.explode(let(F.col("h"), _shingles)).alias("s")).groupBy("item_id", "s").agg(F.count("*").alias("want"))
-    total = items.select("item_id", (F.col("n") - (SHINGLE - 1)).alias("total"))
-    held = there.join(wanted, ["item_id", "s"]).groupBy("doc_id", "own", "item_id", "at").agg(F.sum(F.least("c", "want")).alias("held"))
-    scored = held.join(total, "item_id").withColumn("similarity", F.col("held") / F.col("total")).where(F.col("similarity") >= THRESHOLD)
-    best = F.max(F.struct("similarity", (-F.col("at")).alias("at")))
-    return scored.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.similarity", F.greatest(-F.col("b.at"), F.lit(0)).alias("first_word"))
+    there = texts.join(spot, "row").select("row", "item", "at", F.explode(let(stretch, _shingles)).alias("s")).groupBy("row", "item", "at", "s").agg(F.count("*").alias("c"))
+    wanted = items.select("item", F.explode(let(F.col("h"), _shingles)).alias("s")).groupBy("item", "s").agg(F.count("*").alias("want"))
+    held = there.join(wanted, ["item", "s"]).groupBy("row", "item", "at").agg(F.sum(F.least("c", "want")).alias("held"))
+    scored = held.join(items.select("item", "item_id", (F.col("n") - (SHINGLE - 1)).alias("total")), "item").withColumn("similarity", F.col("held") / F.col("total"))
+    return scored.where(F.col("similarity") >= THRESHOLD).select("row", "item_id", "similarity", F.greatest("at", F.lit(0)).alias("first_word"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item.  Rows with a null id stay."""
-    leaks = durable(find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct())
-    return docs.join(small(leaks, BROADCAST_ROWS), docs.doc_id == F.col("_leak"), "left_anti")
+    """``docs`` without the rows whose text holds a benchmark item."""
+    leaks = durable(_leaks(docs, benchmark, "doc_id", "text", "item_id", "text").select(F.col("row").alias("_leak")).distinct())
+    held = docs.withColumn("_row", row_key(F.col("doc_id"), F.col("text").cast("string")))
+    return held.join(small(leaks), F.col("_row") == F.col("_leak"), "left_anti").select(docs.columns)

@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from evenkeel.llm.common import durable, let, small
 
 BLOCK, ALLOW = "block", "allow"
-#: Intervals that may be broadcast; longer lists are joined by shuffling (AQE splits hot keys).
-BROADCAST_ROWS = 500_000
 
 
 def host(url: Column) -> Column:
@@ -71,7 +69,7 @@ def judge(captures: DataFrame, entries: DataFrame, capture_id: str = "page_id",
     nothing.  Captures with the same id, URL and time are judged alike, each keeps its row.
     """
     source = captures.select(F.col(f"`{capture_id}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{fetched}`").alias("fetched_at"))
-    spans = small(durable(intervals(entries)), BROADCAST_ROWS)
+    spans = small(durable(intervals(entries)))
     # what is judged is a URL at a time: repeats meet once
     distinct = source.where("url is not null and fetched_at is not null").select("url", "fetched_at").distinct()
     met = distinct.select("url", "fetched_at", F.explode(keys(F.col("url"))).alias("pattern")).join(spans, "pattern")
