@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evenkeel.llm.common import durable
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -55,7 +57,7 @@ def histogram(docs: DataFrame, text: str = "text", path: str = RANKS) -> DataFra
     Null and empty texts have length 0.  An empty table gives no rows.
     """
     counts = lengths(docs, text, path).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
-    return suffix_sums(counts)
+    return suffix_sums(durable(counts))  # read twice
 
 
 def suffix_sums(counts: DataFrame) -> DataFrame:
