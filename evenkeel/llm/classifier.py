@@ -22,11 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.llm import scan
+from evenkeel.llm.common import labelled_texts
 
 WORDS, MARKS, DIMS, REACH = 1 << 14, 1 << 11, 32, 2
 #: Labelled documents that the network is fitted on, at most: those with the least hash of their id.
 MAX_LABELLED = 20_000
 PREDICTED_FROM = 0.7
+#: Labelled documents, of both kinds together, below which no weights are fitted.
+LEAST_LABELLED = 20
 #: Bytes of text handled at a time.
 PORTION = 2 << 20
 
@@ -160,14 +163,17 @@ class Network:
 
 
 def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, seed: int = 7) -> Network:
-    """Weights by Adam on four rows in five, the temperature on the fifth.  Without both labels: the share of 1s."""
+    """Weights by Adam on four rows in five, the temperature on the fifth.
+
+    Without both labels, or with fewer than LEAST_LABELLED rows, every input scores the share of 1s.
+    """
     x, y = x.astype(float), y.astype(float)
     rng = np.random.default_rng(seed)
     mean, scale = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     net = Network(mean, scale, rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), np.zeros(hidden), 0.0)
     share = (y.sum() + 1) / (len(y) + 2)
     net.b2 = float(np.log(share / (1 - share)))
-    if len(set(y.tolist())) < 2 or len(y) < 20:
+    if len(set(y.tolist())) < 2 or len(y) < LEAST_LABELLED:
         return net
     held = np.arange(len(y)) % 5 == 0
     z, t = (x[~held] - mean) / scale, y[~held]
@@ -198,17 +204,18 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, seed:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
-    """``text, quality`` of the labelled documents to learn from.  Repeated labels count once (the least)."""
+    """``text, quality`` of the labelled documents to learn from.  Repeated labels and rows count once (the least)."""
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     few = marks.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(limit)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id")  # `limit` rows of two numbers
+    return labelled_texts(docs, few)
 
 
 def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
     Null, empty and blank texts get the score of a document without words.  Without labels of both
-    kinds every score is the share of labels 1 (a half without any).  Other columns are no input.
+    kinds, or with fewer than LEAST_LABELLED of them, every score is the share of labels 1 (smoothed; a
+    half without any).  Other columns are no input.
     """
     vectors = docs.sparkSession.sparkContext.broadcast(context_vectors(docs))
 

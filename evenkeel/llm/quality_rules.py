@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import SPACE, drop_head, let, take_head, words
+from evenkeel.llm.common import SPACE, drop_head, labelled_texts, let, take_head, words
 
 #: Labelled rows that a list is learned from, at most: those with the least hash of their id.
 MAX_LABELLED = 20_000
@@ -158,12 +158,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLE
     """Statistics and label of the labelled rows with the least hash of their id, ``limit`` at most.
 
     Rows that fail the base are left out: the list judges only what the base lets through.
-    Repeated labels of one id count once (the least); labels without a row, and null labels, don't.
+    Repeated labels of one id count once (the least), as do repeated rows; labels without a row, and
+    null labels, don't.
     """
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_label"))
     order = F.xxhash64(F.col("doc_id").cast("string"))
     few = marks.orderBy(order, "doc_id").limit(limit)
-    picked = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # `limit` rows of two numbers
+    # `limit` rows: kept before their statistics are computed, lest Spark computes those of all documents
+    picked = labelled_texts(docs, few)
     rows = features(picked).where(~base_failed()).select("doc_id", "_label", *FEATURES).collect()
     return [r.asDict() for r in sorted(rows, key=lambda r: tuple(r))]
 
@@ -236,13 +238,18 @@ def _grow(rows: list[dict], cuts: dict[str, list[float]], max_terms: int) -> tup
 
 
 def _prune(rule: tuple[Condition, ...], hold: list[dict]) -> tuple[Condition, ...]:
-    """The prefix of the rule that is worth most on rows held back; the shorter of equals."""
-    best, worth = (), -2.0
-    for k in range(1, len(rule) + 1):
-        bad, good = _counts(hold, rule[:k])
-        if bad + good and (v := (bad - good) / (bad + good)) > worth:
-            best, worth = rule[:k], v
-    return best
+    """The rule without the conditions that are worth nothing on rows held back, taken off one by one, the least useful first."""
+
+    def worth(terms: tuple[Condition, ...]) -> float:
+        bad, good = _counts(hold, terms)
+        return (bad - good) / (bad + good) if bad + good else -2.0
+
+    while len(rule) > 1:
+        shorter = max((rule[:k] + rule[k + 1 :] for k in range(len(rule))), key=worth)
+        if worth(shorter) < worth(rule):
+            break
+        rule = shorter
+    return rule if worth(rule) > -2 else ()
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
