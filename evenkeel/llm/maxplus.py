@@ -4,11 +4,17 @@ See :mod:`evenkeel.llm.sentencepiece_codec` for the boundary states.  A chunk of
 read with the ``width - 1`` characters that follow it, so that it knows the pieces which begin
 inside and end behind it.  ``transfer`` gives its matrix, ``compose`` multiplies two, and ``trace``
 walks back through one chunk once both its boundary states are known.
+
+The scan goes up and down a tree with FAN children a node.  Upwards a node's matrix is the product of
+its children's; the product is associative, so nodes of one level are independent.  Downwards a node
+knows the states at its two ends, and ``states`` gives those between its children.  No task holds
+more than FAN matrices of a document, however long it is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,23 +24,30 @@ from pyspark.sql import functions as F
 
 from evenkeel.llm.common import durable
 
+#: Children of a node of the tree.
+FAN = 32
 #: What a character outside the vocabulary scores below the worst piece, as the library has it.
 UNKNOWN_PENALTY = 10.0
 
 
 class Vocabulary:
-    """Pieces with scores and ids; single characters that no piece covers get the unknown id."""
+    """Pieces with scores and ids; single characters that no piece covers get the unknown id, or the ids of their bytes."""
 
-    def __init__(self, pieces: dict[str, tuple[int, float]], unknown: int):
-        self.pieces, self.unknown = pieces, unknown
+    def __init__(self, pieces: dict[str, tuple[int, float]], unknown: int, bytes_: dict[int, int] | None = None):
+        self.pieces, self.unknown, self.bytes = pieces, unknown, bytes_ or {}
         self.width = max(map(len, pieces), default=1)
         self.floor = min((s for _, s in pieces.values()), default=0.0) - UNKNOWN_PENALTY
 
     @classmethod
     def of(cls, codec) -> Vocabulary:
         sp = codec.library
-        usable = (i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i)))
-        return cls({sp.id_to_piece(i): (i, sp.get_score(i)) for i in usable}, sp.unk_id())
+        every = range(sp.get_piece_size())
+        usable = (i for i in every if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i)))
+        return cls({sp.id_to_piece(i): (i, sp.get_score(i)) for i in usable}, sp.unk_id(), {int(sp.id_to_piece(i)[1:-1], 16): i for i in every if sp.is_byte(i)})
+
+    def ids(self, piece: int, char: str) -> list[int]:
+        """What a piece of a path stands for in the encoding; ``char`` is the character where it begins."""
+        return [self.bytes[b] for b in char.encode()] if piece == self.unknown and self.bytes else [piece]
 
     def from_place(self, text: str, at: int) -> Iterator[tuple[int, int, float]]:
         """(end, id, score) of the pieces that begin at a place of the text; one character at least."""
@@ -79,21 +92,19 @@ def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def states(matrices: list[np.ndarray]) -> list[int]:
-    """The overhang at each boundary of a document, first and last included (both 0).
+def states(matrices: list[np.ndarray], entry: int = 0, leave: int = 0) -> list[int]:
+    """The overhang at each boundary of neighbouring matrices, first and last included, between two known ones.
 
-    Prefix products give the best score into each state; walking back, each chunk's matrix then
-    gives the best state in front of it.
+    Prefix products give the best score into each state; walking back, each matrix then gives the best
+    state in front of it.
     """
-    width = matrices[0].shape[0]
-    into = [np.where(np.arange(width) == 0, 0.0, -np.inf)]
-    for m in matrices:
+    into = [np.where(np.arange(matrices[0].shape[0]) == entry, 0.0, -np.inf)]
+    for m in matrices[:-1]:
         into.append((into[-1][:, None] + m).max(axis=0))
-    chosen = [0]
-    for m, before in zip(reversed(matrices), reversed(into[:-1])):
-        # with the state behind the chunk fixed, the best state in front of it
-        score = before + m[:, chosen[-1]]
-        chosen.append(int(np.argmax(score)))
+    chosen = [leave]
+    for m, before in zip(reversed(matrices), reversed(into)):
+        # with the state behind fixed, the best state in front
+        chosen.append(int(np.argmax(before + m[:, chosen[-1]])))
     return chosen[::-1]
 
 
@@ -105,9 +116,9 @@ def trace(text: str, n: int, vocab: Vocabulary, entry: int, leave: int) -> list[
         start, piece = back[at, 0]
         if start < 0:
             break
-        ids.append(int(piece))
+        ids.append(vocab.ids(int(piece), text[start]))
         at = int(start)
-    return ids[::-1]
+    return [i for part in reversed(ids) for i in part]
 
 
 def best_path(text: str, vocab: Vocabulary) -> list[int]:
@@ -120,11 +131,39 @@ def chunks(text: str, size: int, width: int) -> list[tuple[int, str, int]]:
     return [(i, text[a : a + size + width - 1], len(text[a : a + size])) for i, a in enumerate(range(0, len(text), size))]
 
 
+def _tree(leaves: DataFrame, width: int) -> list[DataFrame]:
+    """``row, part, m`` of each level, from the chunks up to one node a document."""
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        ms = [np.array(m).reshape(width, width) for m in pdf.sort_values("part").m]
+        return pd.DataFrame({"row": pdf.row[:1], "part": pdf.part[:1] // FAN, "m": [reduce(compose, ms).ravel()]})
+
+    levels = [durable(leaves)]
+    while (levels[-1].agg(F.max("part")).first()[0] or 0) > 0:
+        up = levels[-1].withColumn("node", F.floor(F.col("part") / FAN)).groupBy("row", "node").applyInPandas(product, "row long, part int, m array<double>")
+        levels.append(durable(up))
+    return levels
+
+
+def _ends(levels: list[DataFrame], width: int) -> DataFrame:
+    """``row, part, entry, leave`` of the chunks, from the top of the tree down; a document begins and ends without overhang."""
+
+    def between(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        at = states([np.array(m).reshape(width, width) for m in pdf.m], int(pdf.entry.iloc[0]), int(pdf.leave.iloc[0]))
+        return pd.DataFrame({"row": pdf.row, "part": pdf.part, "entry": at[:-1], "leave": at[1:]})
+
+    known = levels[-1].select("row", "part", F.lit(0).alias("entry"), F.lit(0).alias("leave"))
+    for level in reversed(levels[:-1]):
+        below = level.withColumn("node", F.floor(F.col("part") / FAN).cast("int")).join(known.withColumnRenamed("part", "node"), ["row", "node"])
+        known = below.groupBy("row", "node").applyInPandas(between, "row long, part int, entry int, leave int")
+    return known
+
+
 def unigram_encode(source: DataFrame, codec, chunk: int) -> DataFrame:
-    """``doc_id, ids, n_tokens, round_trip`` of ``doc_id, text`` by the best path, giants by the scan."""
+    """``doc_id, ids, n_tokens, round_trip`` of ``doc_id, text`` by the best path, chunk by chunk."""
     data = source.sparkSession.sparkContext.broadcast(codec.model)
     kind = source.schema["doc_id"].dataType.simpleString()
-    schema = "row long, part int, ids array<int>"
     width = Vocabulary.of(codec).width
     chunk = max(chunk, width)
     spaced = F.concat(F.lit("▁"), F.translate("text", " ", "▁"))
@@ -145,20 +184,15 @@ def unigram_encode(source: DataFrame, codec, chunk: int) -> DataFrame:
             m = [transfer(t, n, vocab).ravel() for t, n in zip(pdf.text, pdf.n)]
             yield pd.DataFrame({"row": pdf.row, "part": pdf.part, "m": m})
 
-    def boundaries(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part")
-        at = states([np.array(m).reshape(width, width) for m in pdf.m])
-        return pd.DataFrame({"row": pdf.row, "part": pdf.part, "entry": at[:-1], "leave": at[1:]})
-
     def traced(batches):
         vocab = vocabulary()
         for pdf in batches:
             ids = [trace(t, n, vocab, e, x) for t, n, e, x in zip(pdf.text, pdf.n, pdf.entry, pdf.leave)]
             yield pd.DataFrame({"row": pdf.row, "part": pdf.part, "ids": ids})
 
-    # A document's matrices are its characters / chunk, of width x width numbers each.
-    at = parts.mapInPandas(matrices, "row long, part int, m array<double>").groupBy("row").applyInPandas(boundaries, "row long, part int, entry int, leave int")
-    found = parts.join(at, ["row", "part"]).mapInPandas(traced, schema)
+    # A chunk's matrix has width x width numbers.
+    at = _ends(_tree(parts.mapInPandas(matrices, "row long, part int, m array<double>"), width), width)
+    found = parts.join(at, ["row", "part"]).mapInPandas(traced, "row long, part int, ids array<int>")
     joined = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("p"))
     ids = joined.select("row", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
 

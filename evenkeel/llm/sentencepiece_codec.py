@@ -6,8 +6,10 @@ A model file is one of two kinds, and each has its own law.
 than CHUNK characters is cut into chunks.  A piece that begins in one chunk may end up to
 ``width - 1`` characters inside the next; that overhang is the boundary state.  Each chunk yields a
 matrix: best score from each overhang it may receive to each it may pass on.  The matrices of a
-document are multiplied in (max, +), prefix by prefix, which fixes the state at each boundary, and
-every chunk is then backtraced on its own.  Of paths with equal scores either may be found.
+document are multiplied in (max, +) up a tree, which then fixes the state at each boundary downwards,
+and every chunk is backtraced on its own.  Of paths with equal scores either may be found.  That
+holds for files that take the text as it is (no normalisation, a space in front, white space kept) and
+spell unknown characters in bytes; other unigram files are left to the library, text by text.
 
 *BPE*: the encoding is the order of merges, not a best path, so the (max, +) product gives other
 ids than the library's.  There the boundary state is trivial instead: where no piece of the
@@ -97,6 +99,14 @@ class Codec:
             self._own["memory"] = {}
         return self._own["sp"]
 
+    @property
+    def scannable(self) -> bool:
+        """Whether the encoding is the best path over the text as it is: see the module."""
+        sp = self.library
+        plain = ["a  b", " A\u00e9", "e\u0301 \ufb01\u00a0x\t", "\n"]
+        exact = all(sp.decode(sp.encode(x)) == x for x in plain) and sp.encode("a")[:1] != sp.encode("\na")[-1:]
+        return model_kind(self.model) == UNIGRAM and len(self._own["bytes"]) == 256 and exact
+
     @property
     def separable(self) -> bool:
         """Whether texts may be cut before a space that follows another character, and around line breaks."""
@@ -175,7 +185,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     codec = Codec(data.value)
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    if model_kind(data.value) == UNIGRAM:
+    if codec.scannable:
         from evenkeel.llm.maxplus import unigram_encode
 
         return unigram_encode(source, codec, chunk)
