@@ -104,7 +104,8 @@ def shard_documents(docs: DataFrame, tree: HashTree, key: str = "doc_id", text:
     Law ``key``: the row's key and the tree alone decide.  ``size`` is the text's UTF-8 bytes plus
     8, ``slot`` numbers a shard's rows from 0 without gaps, in the order of (hash bucket, key,
     CRC).  A null text counts as empty, a null key as an empty string; repeated rows share a shard
-    and get slots of their own; an empty table gives an empty result.  Other columns are ignored.
+    and get slots of their own; an empty table gives an empty result.  Other columns are ignored.  Hash
+    buckets come from key and CRC, so that rows without a key are spread over a shard's buckets.
     """
     id_, body = F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))
     name = F.coalesce(id_.cast("string"), F.lit(""))
@@ -115,7 +116,7 @@ def shard_documents(docs: DataFrame, tree: HashTree, key: str = "doc_id", text:
         F.lit("key").alias("law"),
         tree.assign(name).alias("shard"),
         tree.grow().assign(name).alias("grown_shard"),
-        F.conv(F.substring(F.md5(name), 1, _hex_digits(BUCKETS)), 16, 10).cast("int").alias("bucket"),
+        F.conv(F.substring(F.md5(F.concat_ws("|", name, F.crc32(body))), 1, _hex_digits(BUCKETS)), 16, 10).cast("int").alias("bucket"),
     )
     return _slots(rows).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
@@ -130,15 +131,17 @@ def _hex_digits(n: int) -> int:
 def _slots(rows: DataFrame) -> DataFrame:
     """Number each shard's rows: inside its buckets, plus the rows of the buckets before.
 
-    The table of offsets has shards x BUCKETS rows at most, whatever the input.  Rows that agree in
-    bucket and key are few (repeats of one row), so no window holds more than a bucket.
+    The table of offsets has shards x BUCKETS rows at most, whatever the input.  Rows that agree in all
+    columns are counted in the task that reads them and numbered together, so repeats of one row, however
+    many, are a row a task in their bucket's window.
     """
+    counted = rows.groupBy(*rows.columns, F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"))
     cells = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.select(F.col("shard").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
+    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size", "part").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        rows.withColumn("at", F.row_number().over(inside))
+        counted.withColumn("at", F.coalesce(F.sum("n").over(inside), F.lit(0)))
         .join(F.broadcast(offsets), (F.col("shard") == F.col("s")) & (F.col("bucket") == F.col("b")))
-        .withColumn("slot", (F.col("first") + F.col("at") - 1).cast("long"))
+        .withColumn("slot", F.explode(F.sequence(F.col("first") + F.col("at"), F.col("first") + F.col("at") + F.col("n") - 1)))
     )
