@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ MAX_LABELLED = 20_000
 FEATURES = ("mean_word", "symbol_share", "bang_share", "bar_share", "repeat_share", "dup_line_share", "stop_share")
 #: Words up to which a window's place fits into 12 bits.
 SHORT = 4096
-#: Thresholds tried for a statistic, at most.
-CUTS = 24
+#: Rows labelled 0 that a rule must cover among those held back.
+LEAST_BAD = 3
 
 
 def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -171,85 +172,71 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLE
 
 
 def learn(rows: list[dict], max_rules: int = 12, max_terms: int = 3) -> DecisionList:
-    """A list that rejects rows labelled 0.  Rows need ``_label`` and FEATURES; none: keep all."""
-    grow = [r for i, r in enumerate(rows) if i % 3]
-    hold = [r for i, r in enumerate(rows) if not i % 3]
-    cuts = {f: _cuts([r[f] for r in grow]) for f in FEATURES}
+    """A list that rejects rows labelled 0.  Rows need ``_label`` and FEATURES; none: keep all.
+
+    Every third row is held back.  A rule is grown on the others and pruned on those held back; it joins
+    the list if it covers LEAST_BAD of them that are labelled 0, and right three times in four.
+    """
+    x = np.array([[r[f] for f in FEATURES] for r in rows], float).reshape(len(rows), len(FEATURES))
+    bad = np.array([r["_label"] == 0 for r in rows], bool)
+    back, left = np.arange(len(rows)) % 3 == 0, np.ones(len(rows), bool)
     rules: list[tuple[Condition, ...]] = []
     while len(rules) < max_rules:
-        rule = _prune(_grow(grow, cuts, max_terms), hold)
-        if not rule:
-            break
-        bad, good = _counts(hold, rule)
-        if bad + good < 5 or bad <= 3 * good:  # a rule must be right three times in four
+        hold = left & back
+        rule = _prune(_grow(x[left & ~back], bad[left & ~back], max_terms), x[hold], bad[hold])
+        hit = _covers(rule, x)
+        n_bad, n_good = int((hit & hold & bad).sum()), int((hit & hold & ~bad).sum())
+        if not rule or n_bad < LEAST_BAD or n_bad <= 3 * n_good:
             break
         rules.append(rule)
-        left = lambda r, rule=rule: not all(c.holds(r) for c in rule)
-        grow, hold = list(filter(left, grow)), list(filter(left, hold))
+        left &= ~hit
     return DecisionList(tuple(rules))
 
 
-def _cuts(values: list[float]) -> list[float]:
-    """Thresholds between neighbouring quantiles, denser in both tails."""
-    distinct = sorted(set(values))
-    if len(distinct) < 2:
-        return []
-    ordered, n = sorted(values), len(values)
-    ranks = {round(n * q / CUTS) for q in range(1, CUTS)} | {round(n * q / 200) for q in (1, 2, 4, 6, 194, 196, 198, 199)}
-    picked = {ordered[k] for k in ranks if 0 < k < n}
-    return sorted(float((v + max((d for d in _below(distinct, v)), default=v)) / 2) for v in picked)
-
-
-def _below(ordered: list[float], v: float) -> list[float]:
-    import bisect
+def _covers(rule: tuple[Condition, ...], x: np.ndarray) -> np.ndarray:
+    out = np.ones(len(x), bool)
+    for c in rule:
+        out &= (x[:, FEATURES.index(c.feature)] >= c.cut) == c.above
+    return out
 
-    k = bisect.bisect_left(ordered, v)
-    return ordered[k - 1 : k]
 
-
-def _counts(rows: list[dict], rule: tuple[Condition, ...]) -> tuple[int, int]:
-    hit = [r["_label"] for r in rows if all(c.holds(r) for c in rule)]
-    return hit.count(0), len(hit) - hit.count(0)
-
-
-def _grow(rows: list[dict], cuts: dict[str, list[float]], max_terms: int) -> tuple[Condition, ...]:
+def _grow(x: np.ndarray, bad: np.ndarray, max_terms: int) -> tuple[Condition, ...]:
+    """Conditions one by one, each of the most information gain over the rows that are left; cuts lie halfway between neighbouring values."""
     rule: tuple[Condition, ...] = ()
-    while len(rule) < max_terms:
-        bad = sum(r["_label"] == 0 for r in rows)
-        good = len(rows) - bad
-        if not bad or not good:
-            break
-        best, gain = None, 1e-9
-        base = math.log2(bad / (bad + good))
-        for f in FEATURES:
-            ordered = sorted((r[f], r["_label"]) for r in rows)
-            k = b = g = 0
-            for cut in cuts[f]:
-                while k < len(ordered) and ordered[k][0] < cut:
-                    b, g, k = b + (ordered[k][1] == 0), g + (ordered[k][1] != 0), k + 1
-                for above, (p, n) in ((False, (b, g)), (True, (bad - b, good - g))):
-                    if p and p * (math.log2(p / (p + n)) - base) > gain:
-                        best, gain = Condition(f, above, cut), p * (math.log2(p / (p + n)) - base)
+    while len(rule) < max_terms and bad.any() and not bad.all():
+        n_bad, n_good = bad.sum(), (~bad).sum()
+        base, best, most = math.log2(n_bad / len(bad)), None, 1e-9
+        for j, feature in enumerate(FEATURES):
+            order = np.argsort(x[:, j], kind="stable")
+            v, below = x[order, j], np.cumsum(bad[order])
+            edge = np.flatnonzero(v[1:] > v[:-1])
+            p_low = below[edge]
+            for above, p, n in ((False, p_low, edge + 1), (True, n_bad - p_low, len(bad) - edge - 1)):
+                gain = np.where(p > 0, p * (np.log2(np.maximum(p, 1) / n) - base), -1.0)
+                if len(gain) and gain.max() > most:
+                    k = int(gain.argmax())
+                    most, best = float(gain[k]), Condition(feature, above, float((v[edge[k]] + v[edge[k] + 1]) / 2))
         if best is None:
             break
         rule += (best,)
-        rows = [r for r in rows if best.holds(r)]
+        held = _covers((best,), x)
+        x, bad = x[held], bad[held]
     return rule
 
 
-def _prune(rule: tuple[Condition, ...], hold: list[dict]) -> tuple[Condition, ...]:
+def _prune(rule: tuple[Condition, ...], x: np.ndarray, bad: np.ndarray) -> tuple[Condition, ...]:
     """The rule without the conditions that are worth nothing on rows held back, taken off one by one, the least useful first."""
 
     def worth(terms: tuple[Condition, ...]) -> float:
-        bad, good = _counts(hold, terms)
-        return (bad - good) / (bad + good) if bad + good else -2.0
+        hit = _covers(terms, x)
+        return float((2 * (hit & bad).sum() - hit.sum()) / hit.sum()) if hit.any() else -2.0
 
     while len(rule) > 1:
         shorter = max((rule[:k] + rule[k + 1 :] for k in range(len(rule))), key=worth)
         if worth(shorter) < worth(rule):
             break
         rule = shorter
-    return rule if worth(rule) > -2 else ()
+    return rule
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
