@@ -43,7 +43,7 @@ STAGES = [
     ("encoding", encoded),
 ]
 
-#: Learned rules and merges are no SQL: the stages are tested one by one against brute force.
+#: Learned rules and merges are no SQL: run() is held against plain loops over the smallest tables in tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
