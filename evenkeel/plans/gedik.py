@@ -91,11 +91,11 @@ class Tracked:
 
 
 def scan(t: Tracked) -> dict:
-    """Keys in falling order, each where utility is least; ties to the lowest partition."""
+    """Keys in falling order, each where utility is least; ties (to 9 places) to the lowest partition."""
     balance, moved, placed = Balance(t.n, t.costs), t.left(), {}
     for key, f in t.current:
         cost = [t.costs.utility(balance.penalty_with([(p, f, 1)]), t.migration(moved + t.costs.state(f) * (p != t.old[key]))) for p in range(t.n)]
-        p = min(range(t.n), key=lambda p: (cost[p], p))
+        p = min(range(t.n), key=lambda p: (round(cost[p], 9), p))
         placed[key] = p
         balance.add(p, f)
         moved += t.costs.state(f) * (p != t.old[key])
@@ -103,7 +103,7 @@ def scan(t: Tracked) -> dict:
 
 
 def redist(t: Tracked) -> dict:
-    """Again and again the key and place of the least utility per frequency; ties by (frequency falling, key, partition)."""
+    """Again and again the key and place of the least utility per frequency; ties (to 9 places) by (frequency falling, key, partition)."""
     balance, moved, placed = Balance(t.n, t.costs), t.left(), {}
     left = sorted(t.current, key=lambda x: (-x[1], str(x[0])))
     while left:
@@ -111,7 +111,7 @@ def redist(t: Tracked) -> dict:
         for i, (key, f) in enumerate(left):
             for p in range(t.n):
                 u = t.costs.utility(balance.penalty_with([(p, f, 1)]), t.migration(moved + t.costs.state(f) * (p != t.old[key])))
-                u = u / f if f > 0 else float("inf")  # keys without weight come last
+                u = round(u / f, 9) if f > 0 else float("inf")  # keys without weight come last
                 if best is None or u < best[0]:
                     best = (u, i, p)
         _, i, p = best

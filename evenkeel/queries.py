@@ -497,15 +497,56 @@ def _searched(spark, sf_dir, name: str) -> DataFrame:
     placed = gedik.SEARCHES[name](t)
     before, after = gedik.penalties(t, t.old), gedik.penalties(t, placed)
     rows = [(k, placed[k], after["balance"], after["balance"] <= before["balance"] + 1e-9) for k, _ in t.current]
-    return spark.createDataFrame(rows, "key int, partition int, balance double, no_worse boolean")
+    return spark.createDataFrame(rows, "key int, partition int, balance double, no_worse boolean").withColumn("balance", F.round("balance", 6))
 
 
-@query()
+def _with(loads: str, p: str, x: str) -> str:
+    """SQL: the loads with x more on partition p."""
+    return f"list_transform({loads}, lambda v, j: CASE WHEN j = {p} + 1 THEN v + {x} ELSE v END)"
+
+
+def _spread_sql(loads: str) -> str:
+    return f"((list_max({loads}) - list_min({loads})) / (0.2 * list_sum({loads}) / {N}))"
+
+
+def _penalty_sql(s: str, c: str) -> str:
+    return f"pow(greatest({_spread_sql(s)} * {_spread_sql(c)} * {_spread_sql(s)}, 0), 1.0 / 3)"
+
+
+def _cost_sql(f: str, o: str) -> str:
+    """SQL: the utility of a key of frequency f and old place o on partition p."""
+    return f"({_penalty_sql(_with('s', 'p', f), _with('c', 'p', f'{f} * {f}'))} + (moved + CASE WHEN p <> {o} THEN {f} ELSE 0 END) / ideal)"
+
+
+_ZEROS = f"[CAST(0 AS DOUBLE) FOR x IN range({N})]"
+_TRACKED = f"""heavy AS MATERIALIZED (SELECT rank, key, freq, key % {N} AS o FROM hist WHERE rank <= {2 * N}),
+was AS (SELECT q.p, coalesce(sum(freq), 0) AS s, coalesce(sum(freq * freq), 0) AS c FROM range({N}) q(p) LEFT JOIN heavy ON o = q.p GROUP BY 1),
+old AS (SELECT {_penalty_sql("s", "c")} AS b FROM (SELECT list(s ORDER BY p) AS s, list(c ORDER BY p) AS c FROM was))"""
+_RESULT = f"""SELECT d.key, CAST(d.p AS INTEGER) AS partition, round(b.b, 6) AS balance, b.b <= old.b + 1e-9 AS no_worse
+FROM done d, old, (SELECT {_penalty_sql("s", "c")} AS b FROM done ORDER BY n DESC LIMIT 1) b WHERE d.n > 0"""
+
+
+@query(f"""WITH RECURSIVE {HIST}, {_TRACKED}, done AS (
+  SELECT 0 AS n, CAST(NULL AS INTEGER) AS key, CAST(NULL AS BIGINT) AS p, {_ZEROS} AS s, {_ZEROS} AS c, CAST(0 AS DOUBLE) AS moved
+  UNION ALL
+  SELECT n + 1, key, best, {_with("s", "best", "freq")}, {_with("c", "best", "freq * freq")}, moved + CASE WHEN best <> o THEN freq ELSE 0 END
+  FROM (SELECT *, list_position(costs, list_min(costs)) - 1 AS best FROM (
+    SELECT d.n, h.key, h.freq, h.o, d.s, d.c, d.moved, list_transform(range({N}), lambda p: round({_cost_sql("h.freq", "h.o")}, 9)) AS costs
+    FROM done d JOIN heavy h ON h.rank = d.n + 1, (SELECT sum(freq) / {N} AS ideal FROM heavy)))
+) {_RESULT}""")
 def gedik_scan(spark, sf_dir):
     return _searched(spark, sf_dir, "scan")
 
 
-@query()
+@query(f"""WITH RECURSIVE {HIST}, {_TRACKED}, done AS (
+  SELECT 0 AS n, CAST(NULL AS INTEGER) AS key, CAST(NULL AS BIGINT) AS p, {_ZEROS} AS s, {_ZEROS} AS c, CAST(0 AS DOUBLE) AS moved,
+         (SELECT list({{'key': key, 'f': freq, 'o': o}} ORDER BY freq DESC, CAST(key AS VARCHAR)) FROM heavy) AS todo
+  UNION ALL
+  SELECT n + 1, t.key, best, {_with("s", "best", "t.f")}, {_with("c", "best", "t.f * t.f")}, moved + CASE WHEN best <> t.o THEN t.f ELSE 0 END, list_filter(todo, lambda x: x.key <> t.key)
+  FROM (SELECT *, todo[CAST(spot // {N} AS BIGINT) + 1] AS t, spot % {N} AS best FROM (SELECT *, list_position(costs, list_min(costs)) - 1 AS spot FROM (
+    SELECT n, s, c, moved, todo, flatten(list_transform(todo, lambda k: list_transform(range({N}), lambda p: round({_cost_sql("k.f", "k.o")} / k.f, 9)))) AS costs
+    FROM done, (SELECT sum(freq) / {N} AS ideal FROM heavy) WHERE len(todo) > 0)))
+) {_RESULT}""")
 def gedik_redist(spark, sf_dir):
     return _searched(spark, sf_dir, "redist")
 
