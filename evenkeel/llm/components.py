@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from evenkeel.llm.common import durable
 
+#: Links that a task is given; steps on fewer links use fewer tasks, whatever the session's number of shuffle partitions.
+LINKS_A_TASK = 100_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` (its least node) for every node of the links ``a, b``.
@@ -17,7 +20,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = durable(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(edges)
     while state[0]:
-        edges = durable(_small_star(_large_star(edges)))
+        tasks = 1 + state[0] // LINKS_A_TASK
+        edges = durable(_small_star(_large_star(edges.coalesce(tasks)).coalesce(tasks)).coalesce(tasks))
         now = _state(edges)
         if now == state:
             break

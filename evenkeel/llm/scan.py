@@ -100,7 +100,7 @@ def shingles(doc: np.ndarray, words: np.ndarray, size: int) -> tuple[np.ndarray,
     with np.errstate(over="ignore"):
         for k in range(size):
             part = np.zeros(len(doc), np.uint64)
-            part[: len(doc) - k] = words[k:] if k else words
+            part[: max(len(doc) - k, 0)] = words[k:]
             left = np.repeat(first + n, n) - np.arange(len(doc))  # words up to the text's end
             h = np.where(left > k, mix(h * np.uint64(31) + part), h)
     whole = np.repeat(first + n, n) - np.arange(len(doc)) >= size
