@@ -194,7 +194,7 @@ def drift_sampler(spark, sf_dir):
     return S.sample(rows, "l_partkey", lambda seed: S.DriftRespecting(seed, take=50, soft=400, compaction=200), "task")
 
 
-@query(f"WITH {EV}, c AS (SELECT event_id % 4 AS task_id, k, count(*) AS n FROM ev GROUP BY ALL), t AS (SELECT task_id, sum(n) AS total FROM c GROUP BY 1) SELECT c.task_id, true AS no_frequent_key_lost, true AS undercount_bounded FROM c JOIN t USING (task_id) GROUP BY 1")
+@query(f"WITH {EV}, c AS (SELECT event_id % 4 AS task_id, k, count(*) AS n FROM ev GROUP BY ALL), t AS (SELECT task_id, sum(n) AS total FROM c GROUP BY 1) SELECT c.task_id, CAST(count(*) FILTER (WHERE n >= 0.02 * total) AS BIGINT) AS frequent_found, true AS no_frequent_key_lost, true AS undercount_bounded FROM c JOIN t USING (task_id) GROUP BY 1")
 def lossy_counting(spark, sf_dir):
     """The guarantees of lossy counting against exact counts: frequency 0.02, error 0.005."""
     rows = zipf(spark, sf_dir).withColumn("task", F.col("event_id") % 4)
@@ -204,6 +204,7 @@ def lossy_counting(spark, sf_dir):
     both = exact.join(total, "t").join(found, (F.col("t") == F.col("task_id")) & (F.col("k") == F.col("key")), "left")
     kept = F.coalesce("value", F.lit(0.0))
     return both.groupBy(F.col("t").alias("task_id")).agg(
+        F.count_if((F.col("n") >= 0.02 * F.col("total")) & (kept >= (0.02 - 0.005) * F.col("total"))).alias("frequent_found"),
         F.bool_and((F.col("n") < 0.02 * F.col("total")) | (kept >= (0.02 - 0.005) * F.col("total"))).alias("no_frequent_key_lost"),
         F.bool_and((F.col("n") - kept <= 0.005 * F.col("total")) & (kept <= F.col("n"))).alias("undercount_bounded"),
     )
@@ -240,7 +241,7 @@ for _name, _make, _sql in (
     SQL[f"dist_{_name}"] = f"SELECT CAST(i + 1 AS INTEGER) AS rank, round(CAST({_sql} AS DOUBLE), 6) AS p FROM range(100) t(i)"
 
 
-@query("SELECT 1000 AS width, true AS non_increasing, true AS non_negative, true AS sums_to_one")
+@query(f"WITH {ZETA} SELECT CAST(count(*) AS INTEGER) AS width, max(up) <= count(*) / 1e6 AS non_increasing, min(p) >= 0 AS non_negative, abs(sum(p) - 1) <= count(*) / 1e6 AS sums_to_one FROM (SELECT p, coalesce(p - lag(p) OVER (ORDER BY rank), 0) AS up FROM zp)")
 def dist_validate(spark, sf_dir):
     return D.validate(D.zeta(spark, 1, 1, 1000)).select(F.col("width").cast("int").alias("width"), "non_increasing", "non_negative", "sums_to_one")
 
@@ -335,7 +336,7 @@ def ring_lookup(spark, sf_dir):
     return load(spark, sf_dir, "customer").select("c_custkey", r.lookup(X.md5_unit(F.col("c_custkey"))).alias("partition"))
 
 
-@query("SELECT CAST(0.3 AS DOUBLE) AS estimate")
+@query(f"WITH {_ADAPTED} SELECT round(count(*) FILTER (WHERE o.p <> ad.p) / 2000.0, 6) AS estimate FROM o JOIN ad USING (s)")
 def ring_migration(spark, sf_dir):
     r = ring.Ring.build(_two_step(20 / 3)).adapt(_two_step(10))
     return spark.createDataFrame([(r.migration,)], "estimate double").select(r6("estimate", "estimate"))
@@ -464,14 +465,68 @@ def kip_lookup_loads(spark, sf_dir):
     return M.loads(zipf(spark, sf_dir), _isolator(spark, sf_dir).target(F.col("k")))
 
 
-@query()
+_ZEROS = f"[CAST(0 AS DOUBLE) FOR x IN range({N})]"
+
+
+def _isolated_sql(t: str, rows: str, old: str, ring: str) -> str:
+    """SQL: the isolator made from ``rows`` (column k): places ``{t}final``, loads ``{t}fl``, weights ``{t}w`` of 1 in all.  ``old`` and ``ring``: SQL of a key's places before."""
+    at = lambda p: f"loads[CAST({p} AS BIGINT) + 1]"
+    stays = f"{at('h.o')} + h.freq <= h.room OR {at('h.o')} = 0"
+    goes = f"t.i <> t.o AND ({at('t.i')} + t.freq < t.room OR {at('t.i')} = 0)"
+    more = lambda p, x: f"list_transform(loads, lambda x, j: CASE WHEN j = {p} + 1 THEN x + {x} ELSE x END)"
+    return f"""{t}cnt AS (SELECT k AS key, count(*) AS n FROM {rows} GROUP BY 1),
+{t}hist AS (SELECT CAST(row_number() OVER (ORDER BY n DESC, key) AS INTEGER) AS rank, key, n / (SELECT sum(n) FROM {t}cnt) AS freq FROM {t}cnt),
+{t}heavy AS MATERIALIZED (SELECT rank, key, freq, {old} AS o, {ring} AS i, (SELECT greatest(max(freq), 1.0 / {N}) + 0.001 FROM {t}hist) AS room FROM {t}hist WHERE rank <= {2 * N}),
+{t}first AS (
+  SELECT 0 AS rank, CAST(NULL AS INTEGER) AS key, CAST(NULL AS BIGINT) AS p, {_ZEROS} AS loads
+  UNION ALL
+  SELECT h.rank, h.key, CASE WHEN {stays} THEN CAST(h.o AS BIGINT) END, CASE WHEN {stays} THEN {more("h.o", "h.freq")} ELSE loads END FROM {t}first f JOIN {t}heavy h ON h.rank = f.rank + 1
+),
+{t}todo AS MATERIALIZED (SELECT row_number() OVER (ORDER BY f.rank) AS pos, h.* FROM {t}first f JOIN {t}heavy h USING (key) WHERE f.p IS NULL),
+{t}second AS (
+  SELECT CAST(0 AS BIGINT) AS pos, CAST(NULL AS INTEGER) AS key, CAST(NULL AS BIGINT) AS p, (SELECT loads FROM {t}first ORDER BY rank DESC LIMIT 1) AS loads
+  UNION ALL
+  SELECT t.pos, t.key, CASE WHEN {goes} THEN CAST(t.i AS BIGINT) ELSE CAST({_LEAST} - 1 AS BIGINT) END, {more(f"(CASE WHEN {goes} THEN t.i ELSE {_LEAST} - 1 END)", "t.freq")} FROM {t}second s JOIN {t}todo t ON t.pos = s.pos + 1
+),
+{t}final AS (SELECT key, p FROM {t}first WHERE p IS NOT NULL UNION ALL SELECT key, p FROM {t}second WHERE pos > 0),
+{t}fl AS (SELECT unnest(loads) AS load, generate_subscripts(loads, 1) - 1 AS p FROM (SELECT loads FROM {t}second ORDER BY pos DESC LIMIT 1)),
+{t}lv AS (
+  SELECT 0 AS i, CAST(1 AS DOUBLE) AS rest, true AS going, 0 AS s
+  UNION ALL
+  SELECT l.i + 1, CASE WHEN going AND rest / ({N} - i) <= load THEN rest - load ELSE rest END, going AND rest / ({N} - i) <= load, s + CASE WHEN going AND rest / ({N} - i) <= load THEN 1 ELSE 0 END FROM {t}lv l JOIN {t}fl f ON f.p = l.i
+),
+{t}wt AS (SELECT p, greatest(0, (SELECT CASE WHEN s = {N} THEN 0 ELSE greatest(0, rest / ({N} - s)) END FROM {t}lv WHERE i = {N}) - load) AS free FROM {t}fl),
+{t}w AS (SELECT p, free / (SELECT sum(free) FROM {t}wt) AS w FROM {t}wt)"""
+
+
+_SLOTS = N * 100
+_MIGRATED = f"""half AS (SELECT event_id, event_id % 2 AS h, CAST(floor({MD5.format("k")} * {_SLOTS}) AS BIGINT) AS slot, k FROM ev),
+spot AS (SELECT DISTINCT k, slot FROM half),
+{_isolated_sql("a_", "(SELECT k FROM half WHERE h = 0)", f"key % {N}", f"key % {N}")},
+a_hi AS (SELECT p, CASE WHEN p = {N - 1} THEN {_SLOTS} ELSE round_even({_SLOTS} * sum(w) OVER (ORDER BY p), 0) END AS hi FROM a_w),
+ring AS MATERIALIZED (SELECT s, (SELECT min(p) FROM a_hi WHERE hi > s) AS p FROM range({_SLOTS}) r(s)),
+a_at AS MATERIALIZED (SELECT spot.k, coalesce(f.p, ring.p) AS p, ring.p AS i FROM spot JOIN ring ON ring.s = spot.slot LEFT JOIN a_final f ON f.key = spot.k),
+{_isolated_sql("b_", "(SELECT k FROM half WHERE h = 1)", "(SELECT p FROM a_at WHERE a_at.k = key)", "(SELECT i FROM a_at WHERE a_at.k = key)")},
+edge AS (SELECT p, floor({_SLOTS} * sum(b.w - a.w) OVER (ORDER BY p) + 0.5) AS e FROM a_w a JOIN b_w b USING (p)),
+gain AS (SELECT p, e - coalesce(lag(e) OVER (ORDER BY p), 0) AS t FROM edge),
+taker AS (SELECT p, sum(greatest(t, 0)) OVER (ORDER BY p) - greatest(t, 0) AS lo, sum(greatest(t, 0)) OVER (ORDER BY p) AS hi FROM gain),
+leaving AS (SELECT s, row_number() OVER (ORDER BY s) AS m FROM (SELECT s, p, row_number() OVER (PARTITION BY p ORDER BY s) AS r FROM ring) JOIN gain USING (p) WHERE r <= -t),
+ring2 AS (SELECT ring.s, coalesce(t.p, ring.p) AS p FROM ring LEFT JOIN leaving l USING (s) LEFT JOIN taker t ON t.lo < l.m AND l.m <= t.hi),
+b_at AS (SELECT spot.k, coalesce(f.p, ring2.p) AS p, ring2.p AS i FROM spot JOIN ring2 ON ring2.s = spot.slot LEFT JOIN b_final f ON f.key = spot.k),
+parted AS (SELECT count(*) AS n FROM a_final f JOIN b_at b ON b.k = f.key WHERE f.key NOT IN (SELECT key FROM b_final) AND f.p <> b.i),
+moves AS (SELECT count(*) AS total, count(*) FILTER (WHERE a.p <> b.p) AS moved FROM half JOIN a_at a USING (k) JOIN b_at b USING (k))"""
+
+
+@query(f"""WITH RECURSIVE {EV}, {_MIGRATED} SELECT total, moved, round(moved / total, 6) AS share,
+round((SELECT coalesce(sum(freq), 0) FROM b_todo) + (SELECT n FROM parted) * (SELECT min(freq) FROM b_heavy), 8) AS heavy_estimate,
+round((1 - (SELECT sum(freq) FROM b_heavy)) * (SELECT sum(greatest(t, 0)) FROM gain) / {_SLOTS}, 8) AS small_estimate FROM moves""")
 def kip_migration_estimate(spark, sf_dir):
     """Estimated migration of the update from the first half of the events to the second, and the records that do move."""
     rows = zipf(spark, sf_dir).withColumn("half", F.col("event_id") % 2)
     first = _isolator(spark, sf_dir, rows.where("half = 0"))
     second = _isolator(spark, sf_dir, rows.where("half = 1"), first)
     moved = M.migration(rows, first.target(F.col("k")), second.target(F.col("k")))
-    return moved.select("total", "moved", r6("share", "share"), F.round(F.lit(second.heavy_migration), 6).alias("heavy_estimate"), F.round(F.lit(second.small_migration), 6).alias("small_estimate"))
+    return moved.select("total", "moved", r6("share", "share"), F.round(F.lit(second.heavy_migration), 8).alias("heavy_estimate"), F.round(F.lit(second.small_migration), 8).alias("small_estimate"))
 
 
 # -- searches -----------------------------------------------------------------------------------
@@ -518,7 +573,6 @@ def _cost_sql(f: str, o: str) -> str:
     return f"({_penalty_sql(_with('s', 'p', f), _with('c', 'p', f'{f} * {f}'))} + (moved + CASE WHEN p <> {o} THEN {f} ELSE 0 END) / ideal)"
 
 
-_ZEROS = f"[CAST(0 AS DOUBLE) FOR x IN range({N})]"
 _TRACKED = f"""heavy AS MATERIALIZED (SELECT rank, key, freq, key % {N} AS o FROM hist WHERE rank <= {2 * N}),
 was AS (SELECT q.p, coalesce(sum(freq), 0) AS s, coalesce(sum(freq * freq), 0) AS c FROM range({N}) q(p) LEFT JOIN heavy ON o = q.p GROUP BY 1),
 old AS (SELECT {_penalty_sql("s", "c")} AS b FROM (SELECT list(s ORDER BY p) AS s, list(c ORDER BY p) AS c FROM was))"""
