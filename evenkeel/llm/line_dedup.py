@@ -1,9 +1,9 @@
 """Line deduplication: exact repeats, and lines one edit away from an earlier line.
 
 A line is dropped if an equal line, or one within EDITS = 1 insertion, deletion or substitution of a
-character, comes earlier in the order of (doc_id, line number); "earlier" is the other line's first
-occurrence, dropped or not.  Lines shorter than NEAR_FROM characters are compared for equality only.
-Lines without a word stay and are not compared.
+character, comes earlier in the order of (doc_id, text, line number); "earlier" is the other line's
+first occurrence, dropped or not.  Lines shorter than ``near_from`` characters (NEAR_FROM by default,
+2 at least) are compared for equality only.  Lines without a word stay and are not compared.
 
 Candidates come from segments (Pass-Join): within one edit, of the EDITS + 1 halves of the shorter
 line one occurs unchanged in the other, at its beginning or at its end.  So every line has four
@@ -11,11 +11,11 @@ keys: both halves by its own length, and by the length less one.  Only keys that
 lines share are looked at again.
 
 Inside a key, up to SMALL lines are compared pairwise.  A larger group is split by the same
-argument again: the edit lies in one of WINDOWS windows of the unmatched half, and what is left and
-right of that window is equal.  Groups that are still large are split by single characters; lines
-of one length that agree in all but one place are within one edit, so the earliest of them is
-enough, and a line that equals another less one character is found by equality.  No pair is lost,
-and no group's pairs are all written out.
+argument again and again: the edit lies in one of WINDOWS windows of the part that is not matched yet,
+and what is left and right of that window is equal.  At windows of one character lines of one
+length that agree in all but one place are within one edit, so the earliest of them is enough, and a
+line that equals another less one character is found by equality.  No pair is lost, no group's pairs
+are all written out, and a line's length counts once for each level of windows.
 
 Candidates are verified by a bit-parallel automaton over the 2 EDITS + 1 diagonals of the band.
 Lines travel as two 64-bit hashes; texts are read again for candidates only.
@@ -23,16 +23,16 @@ Lines travel as two 64-bit hashes; texts are read again for candidates only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import SPACE, durable, let, small
+from evenkeel.llm.common import SPACE, durable, let, row_key, small
 
 EDITS = 1
 NEAR_FROM = 16
 SMALL, WINDOWS = 32, 8
-#: Rows of keys or ids that may be broadcast; larger tables are joined by shuffling.
-BROADCAST_ROWS = 500_000
 
 
 def within(a: Column, b: Column, k: int = EDITS) -> Column:
@@ -86,13 +86,18 @@ def _any(state: Column, k: int) -> Column:
     return out
 
 
+#: A line's place: its document (see ``row_key``) and its number.
+PLACE = ("nameless", "id", "own", "line_no")
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no`` (from 0), ``line`` and its hashes ``k1, k2``, of the lines with a word."""
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.where(F.regexp_like("line", F.lit(f"[^{SPACE[1:]}"))).select("doc_id", "line_no", "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), F.col("line")).alias("k2"))
+    """PLACE (lines are numbered from 0), ``line`` and its hashes ``k1, k2``, of the lines with a word."""
+    rows = docs.where("text is not null").select(row_key(F.col("doc_id"), F.col("text")).alias("r"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    worded = rows.where(F.regexp_like("line", F.lit(f"[^{SPACE[1:]}")))
+    return worded.select("r.*", "line_no", "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), F.col("line")).alias("k2"))
 
 
-def _segments(lines: DataFrame) -> DataFrame:
+def _segments(lines: DataFrame, near_from: int) -> DataFrame:
     """The lines with ``seg`` for each of their four keys, ``tag`` (length of the shorter line) and ``part``."""
     n = F.length("line")
 
@@ -101,11 +106,11 @@ def _segments(lines: DataFrame) -> DataFrame:
         parts = (F.substring("line", F.lit(1), head), F.substring("line", n - (tag - head) + 1, tag - head))
         return [F.struct(F.xxhash64(tag, F.lit(i), p).alias("seg"), tag.alias("tag"), F.lit(i).alias("part")) for i, p in enumerate(parts)]
 
-    return lines.where(n >= NEAR_FROM).select("*", F.inline(F.array(*keys(n), *keys(n - 1))))
+    return lines.where(n >= near_from).select("*", F.inline(F.array(*keys(n), *keys(n - 1))))
 
 
 def _first() -> Column:
-    return F.min(F.struct("doc_id", "line_no")).alias("first")
+    return F.min(F.struct(*PLACE)).alias("first")
 
 
 def _large_groups(members: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -121,11 +126,11 @@ def _pairs(members: DataFrame, key: str) -> DataFrame:
     return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.first") < F.col("b.first"))).select(F.col("a.first").alias("x"), F.col("b.first").alias("y"))
 
 
-def near_lines(docs: DataFrame) -> DataFrame:
-    """``first``: first occurrence (doc_id, line_no) of every line that is one edit from an earlier one."""
-    segments = _segments(lines_of(docs))
+def near_lines(docs: DataFrame, near_from: int = NEAR_FROM) -> DataFrame:
+    """``first``: first occurrence (a PLACE) of every line that is one edit from an earlier one."""
+    segments = _segments(lines_of(docs), near_from)
     shared = segments.groupBy("seg").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low != high").select("seg")
-    shared = small(durable(shared), BROADCAST_ROWS)
+    shared = small(durable(shared))
     members = durable(segments.join(shared, "seg").groupBy("seg", "tag", "part", "k1", "k2").agg(_first()))
     few, many = _large_groups(members, "seg")
     texts = durable(_texts(docs, members))
@@ -142,10 +147,10 @@ def near_lines(docs: DataFrame) -> DataFrame:
 def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
     """``first, line`` of the members' lines, read from the documents that hold them."""
     wanted = durable(members.select("first").distinct())
-    ids = durable(wanted.select("first.doc_id").distinct())
-    some = docs.where("text is not null").join(small(ids, BROADCAST_ROWS), "doc_id").select("doc_id", "text")
-    rows = some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(F.struct("doc_id", "line_no").alias("first"), "line")
-    return rows.join(small(wanted, BROADCAST_ROWS), "first").dropDuplicates(["first"])
+    ids = durable(wanted.select(F.struct(*(f"first.{c}" for c in PLACE[:3])).alias("r")).distinct())
+    some = docs.where("text is not null").withColumn("r", row_key(F.col("doc_id"), F.col("text"))).join(small(ids), "r")
+    rows = some.select("r", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(F.struct("r.*", "line_no").alias("first"), "line")
+    return rows.join(small(wanted), "first").dropDuplicates(["first"])
 
 
 def _around(line: Column, tag: Column, begin: Column, end: Column) -> Column:
@@ -156,48 +161,73 @@ def _around(line: Column, tag: Column, begin: Column, end: Column) -> Column:
 def _refined(many: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs of large groups; and lines that are sure to be near an earlier one."""
     head = F.floor(F.col("tag") / 2).cast("int")
-    low = F.when(F.col("part") == 0, head).otherwise(F.lit(0))  # the half that the key does not hold
-    high = F.when(F.col("part") == 0, F.col("tag")).otherwise(head)
-    rows = many.join(texts, "first").withColumn("low", low).withColumn("high", high)
-    step = F.greatest(F.ceil((F.col("high") - F.col("low")) / WINDOWS).cast("int"), F.lit(1))
-    windows = rows.withColumn("begin", F.explode(F.sequence(F.col("low"), F.col("high") - 1, step))).withColumn("end", F.least(F.col("begin") + step, F.col("high")))
-    keyed = windows.withColumn("key", F.xxhash64("seg", "begin", _around(F.col("line"), F.col("tag"), F.col("begin"), F.col("end"))))
-    # a large member of one window group is compared with others of its group only
-    few, many = _large_groups(keyed, "key")
-    singles = many.withColumn("at", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)))
+    begin = F.when(F.col("part") == 0, head).otherwise(F.lit(0))  # the half that the key does not hold
+    end = F.when(F.col("part") == 0, F.col("tag")).otherwise(head)
+    many = many.select(F.col("seg").alias("key"), "tag", "first", begin.alias("begin"), end.alias("end"))
+    pairs = []
+    while True:
+        step = F.greatest(F.ceil((F.col("end") - F.col("begin")) / WINDOWS).cast("int"), F.lit(1))
+
+        def windows(step: Column) -> Column:
+            def window(b: Column) -> Column:
+                e = F.least(b + step, F.col("end"))
+                return F.struct(F.xxhash64("key", b, _around(F.col("line"), F.col("tag"), b, e)).alias("w"), b.alias("b"), e.alias("e"))
+
+            return F.transform(F.sequence("begin", F.col("end") - 1, step), window)
+
+        split = many.join(texts, "first").select("tag", "first", F.inline(let(step, windows)))
+        few, more = _large_groups(split.select(F.col("w").alias("key"), "tag", "first", F.col("b").alias("begin"), F.col("e").alias("end")), "key")
+        # a large member of one window group is compared with others of its group only
+        pairs.append(_pairs(few, "key"))
+        many = durable(more.drop("size"))
+        if not many.agg(F.max(F.col("end") - F.col("begin"))).first()[0]:
+            break
+        if many.where(F.col("end") - F.col("begin") > 1).isEmpty():
+            break
+    return reduce(DataFrame.unionByName, pairs), _one_place(many.join(texts, "first"))
+
+
+def _one_place(rows: DataFrame) -> DataFrame:
+    """``first`` of lines near an earlier one, in groups that agree but for a window of one character (two in the longer lines)."""
+    n, line = F.length("line"), F.col("line")
+    less = lambda at, put: F.concat(F.substring(line, F.lit(1), at), F.lit(put), F.substring(line, at + 2, n))
     # lines of one length that agree but for the place `at`
-    spot = singles.withColumn("one", F.xxhash64("seg", F.length("line"), "at", F.struct(F.substring("line", F.lit(1), F.col("at")), F.substring("line", F.col("at") + 2, F.length("line")))))
+    places = F.when(n == F.col("tag"), F.array("begin")).otherwise(F.array("begin", F.col("begin") + 1))
+    spot = rows.select("first", F.explode(F.transform(places, lambda at: F.xxhash64("key", n, at, less(at, "\n")))).alias("one"))
     least = spot.groupBy("one").agg(F.min("first").alias("least"))
     same = spot.join(least, "one").where(F.col("first") != F.col("least")).select("first")
-    # a line that equals a longer one without the character at `at`, or behind the window's last
-    longer = many.where(F.length("line") == F.col("tag") + 1).withColumn("at", F.explode(F.sequence(F.col("begin"), F.col("end"))))
-    cut = longer.select("key", F.col("first").alias("a"), F.concat(F.substring("line", F.lit(1), F.col("at")), F.substring("line", F.col("at") + 2, F.length("line"))).alias("rest"))
-    short = many.where(F.length("line") == F.col("tag")).select(F.col("key").alias("k"), F.col("first").alias("b"), F.col("line").alias("other"))
+    # a line that equals a longer one without one of the window's characters
+    cut = rows.where(n == F.col("tag") + 1).select("key", F.col("first").alias("a"), F.explode(F.transform(places, lambda at: less(at, ""))).alias("rest"))
+    short = rows.where(n == F.col("tag")).select(F.col("key").alias("k"), F.col("first").alias("b"), line.alias("other"))
     cross = cut.join(short, (F.col("key") == F.col("k")) & (F.xxhash64("rest") == F.xxhash64("other")) & (F.col("rest") == F.col("other"))).select(F.greatest("a", "b").alias("first"))
-    return _pairs(few, "key"), same.unionByName(cross).distinct()
+    return same.unionByName(cross).distinct()
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, dropped`` (numbers of the lines to drop) and ``n_near`` of them, of the documents that lose lines."""
+def dropped_lines(docs: DataFrame, near_from: int = NEAR_FROM) -> DataFrame:
+    """``nameless, id, own, dropped`` (numbers of the lines to drop) and ``n_near`` of them, of the documents that lose lines."""
     lines = lines_of(docs).drop("line")
     seen = lines.groupBy("k1", "k2").agg(_first(), F.count("*").alias("n"))
-    near = durable(near_lines(docs)).withColumn("near", F.lit(True))
-    marked = seen.join(small(near, BROADCAST_ROWS), "first", "left").withColumn("near", F.coalesce("near", F.lit(False))).where("n > 1 or near")
+    near = durable(near_lines(docs, near_from)).withColumn("near", F.lit(True))
+    marked = seen.join(small(near), "first", "left").withColumn("near", F.coalesce("near", F.lit(False))).where("n > 1 or near")
     marked = durable(marked.select("k1", "k2", "first", "near"))
-    found = lines.join(small(marked, BROADCAST_ROWS), ["k1", "k2"]).where(F.col("near") | (F.struct("doc_id", "line_no") != F.col("first")))
-    return found.groupBy("doc_id").agg(F.array_distinct(F.collect_list("line_no")).alias("dropped"), F.count_if("near").alias("n_near"))
+    # repeated lines, and the documents that hold them, grow with the corpus: both joins shuffle at every size
+    found = lines.join(marked, ["k1", "k2"]).where(F.col("near") | (F.struct(*PLACE) != F.col("first")))
+    gone = found.groupBy(*PLACE[:3]).agg(F.collect_set(F.struct("line_no", "near")).alias("gone"))
+    return gone.select(*PLACE[:3], F.col("gone.line_no").alias("dropped"), F.size(F.filter("gone", lambda x: x["near"])).alias("n_near"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", near_from: int = NEAR_FROM) -> DataFrame:
     """``docs`` with the text less its dropped lines, and ``n_lines``, ``n_dropped``, ``n_near`` (ints).
 
     Every row stays; a document whose lines are all dropped has the empty text.  Null texts stay
-    null, with no lines; rows with a null id are left as they are.  Rows that share an id count as
-    one document, and lose the lines of either.  Columns with these names are replaced.
+    null, with no lines.  A document is an id and a text: rows that share an id but not a text are
+    different documents, rows that share both are one, and none of them is a repeat of another.  Null
+    ids come last.  Columns with these names are replaced.
     """
-    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    gone = durable(dropped_lines(source)).select(F.col("doc_id").alias("_id"), F.col("dropped").alias("_dropped"), F.col("n_near").alias("_near"))
-    held = docs.join(small(gone, BROADCAST_ROWS), F.col(f"`{doc_id}`") == F.col("_id"), "left")
+    body = F.col(f"`{text}`").cast("string")
+    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("text"))
+    gone = durable(dropped_lines(source, near_from)).select(F.struct(*PLACE[:3]).alias("_row"), F.col("dropped").alias("_dropped"), F.col("n_near").alias("_near"))
+    held = docs.withColumn("_own", row_key(F.col(f"`{doc_id}`"), body)).join(gone, F.col("_own") == F.col("_row"), "left")
     parts = F.split(F.col(f"`{text}`"), "\n")
 
     def kept(x: Column) -> Column:
@@ -212,4 +242,4 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             "n_near": F.coalesce(F.col("_near").cast("int"), F.lit(0)),
             text: F.when(F.col("_dropped").isNull(), F.col(f"`{text}`")).otherwise(let(parts, kept)),
         }
-    ).drop("_id", "_dropped", "_near")
+    ).drop("_own", "_row", "_dropped", "_near")
