@@ -9,6 +9,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from evenkeel.llm import catalog, classifier, decontaminate, line_dedup, maxplus, prob_minhash, quality_rules, scan, sentencepiece_codec, sharding, substring_dedup, token_counts, url_filters
@@ -75,6 +76,43 @@ def test_rules_learn_a_threshold_and_columns_agree_with_python(spark):
     assert quality_rules.learn([]).rules == () and str(quality_rules.learn([])) == "keep all"
 
 
+def test_rules_learn_conjunctions_in_order():
+    """Two kinds of bad rows, one of which only two statistics together tell; a statistic without meaning is pruned."""
+    r = random.Random(7)
+    rows = []
+    for _ in range(3000):
+        row = {f: r.random() for f in quality_rules.FEATURES}
+        row["_label"] = int(not (row["bar_share"] >= 0.8 or (row["symbol_share"] >= 0.6 and row["mean_word"] < 0.3)))
+        rows.append(row)
+    learned = quality_rules.learn(rows)
+    kinds = [{(c.feature, c.above) for c in rule} for rule in learned.rules]
+    assert {("bar_share", True)} in kinds and {("symbol_share", True), ("mean_word", False)} in kinds
+    assert sum(learned.rejects(x) != (x["_label"] == 0) for x in rows) < 30
+    assert str(learned).count("reject if") == len(learned.rules)
+
+
+def test_verdicts_on_documents_equal_python(spark):
+    """The registered query: statistics and learned rules recomputed in Python."""
+    data = DATA.parent / "sf0.01"
+    docs, marks = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality_rules.learn(quality_rules.labelled_sample(docs, marks))
+    assert rules.rules
+    for r in catalog.op1_quality_rules(spark, str(data)).join(docs.select("doc_id", "text"), "doc_id").collect():
+        n, chars, symbols, dup, again = base(r.text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, again)
+        assert r.base_failed == (n < 50 or 100 * again > 50 * n)
+        t = r.text or ""
+        row = {"mean_word": chars / max(n, 1), "symbol_share": symbols / max(chars, 1), "bang_share": t.count("!") / max(n, 1), "bar_share": t.count("|") / max(n, 1), "repeat_share": again / max(n, 1), "dup_line_share": dup / (1 + t.count("\n")), "stop_share": (t.count(".") + t.count(",")) / max(n, 1)}
+        assert r.kept == (not r.base_failed and not rules.rejects(row))
+
+
+def test_labels_of_repeated_rows_count_once(spark):
+    docs = frame(spark, [prose(60, i % 3) for i in range(90)], [1] * 60 + [2] * 30)
+    marks = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
+    assert [(x["doc_id"], x["_label"]) for x in quality_rules.labelled_sample(docs, marks)] == [(1, 0), (2, 1)]
+    assert classifier.labelled(docs, marks).count() <= 2
+
+
 def test_rules_on_odd_rows(odd, labels):
     rows = quality_rules.apply_rules(odd, labels).collect()
     assert len(rows) == odd.count()
@@ -120,11 +158,63 @@ def test_passages_that_begin_inside_a_sentence(spark):
     assert sum(n > 0 for n in lost) >= 57 and sum(lost) / 60 >= 40
 
 
-def test_units_are_the_text(odd):
-    some = odd.where(F.regexp_like("text", F.lit("[^ \n\t]")))
-    assert some.where(F.array_join(substring_dedup.units(F.col("text")), "") != F.col("text")).isEmpty()
+def passages_left(rows):
+    """Texts of (id, text) rows by loops: units, runs, first occurrences, words that stay."""
+    places, runs = {}, defaultdict(set)
+    for d, t in set(rows):
+        found = list(WORD.finditer(t or ""))
+        w = [m[0] for m in found]
+        if not w:
+            continue
+        data = np.frombuffer(t.encode(), np.uint8)
+        hashes = scan.hashed_words(data, np.array([0, len(data)]))[1].tolist()
+        gaps = [t[x.end() : y.start()] for x, y in zip(found, found[1:])] + ["\n"]
+        edges = [0]
+        for i, x in enumerate(w):
+            if hashes[i] % substring_dedup.CUT == 0 or x[-1] in ".!?" or re.search("[\n\x0b\x0c\r]", gaps[i]) or i + 1 - edges[-1] == substring_dedup.UNIT_WORDS:
+                edges.append(i + 1)
+        m = len(edges) - 1
+        own = set()
+        for i in range(m):
+            own |= {(edges[i], edges[j]) for j in [next((j for j in range(i + 3, m + 1) if edges[j] - edges[i] >= 15), None)] if j}
+            own |= {(edges[j], edges[i + 1]) for j in [next((j for j in range(i - 2, -1, -1) if edges[i + 1] - edges[j] >= 15), None)] if j is not None}
+        key = (d is None, d or 0, xxhash.xxh64(t, seed=42).intdigest() & 0xFFFFFFFF)
+        places[d, t] = [0, *(x.start() for x in found[1:]), len(t)]
+        for a, b in own:
+            runs[tuple(w[a:b])].add((key, a, b, d, t))
+    gone = defaultdict(set)
+    for held in runs.values():
+        for _, a, b, d, t in sorted(held, key=lambda x: x[:3])[1:]:
+            gone[d, t] |= set(range(a, b))
+    return [("".join(t[places[d, t][i] : places[d, t][i + 1]] for i in range(len(places[d, t]) - 1) if i not in gone[d, t]) if (d, t) in places else t, len(gone[d, t])) for d, t in rows]
+
+
+@pytest.mark.parametrize("gathered", [2_000_000, 5])
+def test_passages_equal_brute_force(spark, monkeypatch, gathered):
+    monkeypatch.setattr(substring_dedup, "GATHERED", gathered)
+    monkeypatch.setattr(scan, "SLICE", 100)
+    r = random.Random(21)
+    shared = [prose(n, 60 + n) for n in (8, 20, 33, 70, 70, 15)] + ["Go. On. Up. " * 6, "é漢 🙂! " * 9]
+    texts = [r.choice(["", " \n", "\x0b"]).join([prose(r.randint(1, 40), 6000 + i), " "] + [x for _ in range(r.randint(0, 3)) for x in (r.choice(shared), r.choice([" ", "\n", "\r\n"]))] + [prose(r.randint(1, 30), 7000 + i)]) for i in range(40)]
+    rows = list(enumerate(texts)) + [(3, texts[3]), (3, texts[4]), (4, texts[3]), (None, texts[5]), (None, texts[6]), (None, texts[6]), (50, None), (51, ""), (52, " \n"), (53, prose(9, 1)), (54, prose(9, 1))]
+    for order in (rows, rows[::-1]):
+        docs = frame(spark, [t for _, t in order], [d for d, _ in order]).repartition(3)
+        got = Counter((x.doc_id, x.text, x.n_removed) for x in substring_dedup.dedup_passages(docs).collect())
+        want = passages_left(order)
+        assert got == Counter((d, *x) for (d, _), x in zip(order, want)) and sum(n for _, n in want) > 500
+
+
+def test_unique_text_under_a_repeated_id_stays(spark):
+    texts = [prose(80, 91), prose(80, 92), prose(80, 91)]
+    for ids in ([1, 1, 2], [2, 2, 1], [None, None, None]):
+        got = [x.text for x in substring_dedup.dedup_passages(frame(spark, texts, ids)).collect()]
+        assert texts[1] in got and texts[0] in got
+
+
+def test_passages_on_odd_rows(odd):
     out = substring_dedup.dedup_passages(odd)
     assert out.count() == odd.count() and substring_dedup.dedup_passages(odd.limit(0)).count() == 0
+    assert {r.text for r in out.where("doc_id in (0, 1, 2, 7)").collect()} == {ODD[0], ODD[1], ODD[2], ODD[7]}
 
 
 # -- 3 ProbMinHash ------------------------------------------------------------------------------
@@ -136,6 +226,8 @@ def shingled(text):
 
 
 def probability_jaccard(x, y):
+    if max(x.values(), default=0) == max(y.values(), default=0) == 1:
+        return len(x.keys() & y.keys()) / len(x.keys() | y.keys())
     return sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in x | y) for i in x & y)
 
 
@@ -193,11 +285,59 @@ def test_near_duplicates_on_odd_rows(odd):
     assert len(got) == odd.count()
     by = {r.doc_id: r.class_id for r in got}
     assert by[3] == by[4] == 3 and by[5] == by[6] == 5 and by[0] == by[1] == 0 and by[2] == 2 and by[None] is None
+    assert Counter(r.class_id for r in got if r.is_first) == Counter([0, 2, 3, 5, 7, 8, 9, None])
     kept = [r.doc_id for r in prob_minhash.keep_first(odd).collect()]
     assert sorted(map(str, kept)) == sorted(map(str, [None, 0, 2, 3, 5, 7, 8, 9]))
     assert prob_minhash.near_duplicate_classes(odd.limit(0)).count() == 0
 
 
+def test_texts_that_share_an_id_are_judged_each(spark):
+    a, b, c = prose(90, 61), prose(90, 62), prose(90, 63)
+    near = " ".join(["other", *a.split()[1:]])
+    for rows in ([(1, a), (1, b), (2, near), (2, c), (3, b), (None, near), (None, prose(90, 64))],):
+        for order in (rows, rows[::-1]):
+            got = prob_minhash.near_duplicate_classes(frame(spark, [t for _, t in order], [i for i, _ in order])).collect()
+            assert Counter((r.doc_id, r.class_id) for r in got) == Counter([(1, 1), (1, 1), (2, 1), (2, 2), (3, 1), (None, 1), (None, None)])
+            kept = {r.text for r in prob_minhash.keep_first(frame(spark, [t for _, t in order], [i for i, _ in order])).collect()}
+            assert kept == {a, b, c, prose(90, 64)} or kept == {near, b, c, prose(90, 64)}
+
+
+def crowd(n, seed, size=150):
+    """Copies of a base text, each with one changed word in 150 and up to eight more: many pairs at 0.4 to 0.8."""
+    r = random.Random(seed)
+    base = [f"w{seed}x{i}" for i in range(size)]
+    out = []
+    for k in range(n):
+        words = list(base)
+        for at in r.sample(range(size), 1 + r.choice([0, 0, 1, 1, 2, 2, 2, 3, 4, 8])):
+            words[at] = f"n{seed}x{k}x{at}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_crowds_equal_brute_force_and_make_few_pairs(spark, monkeypatch):
+    rows = []
+    verify = prob_minhash._links
+    monkeypatch.setattr(prob_minhash, "_links", lambda pairs, elements: (rows.append(pairs.count()), verify(pairs, elements))[1])
+    texts = crowd(300, 5) + crowd(40, 6) + [x + " " + x for x in crowd(20, 7)] + crowd(20, 7)
+    got = {r.doc_id: r.class_id for r in prob_minhash.near_duplicate_classes(frame(spark, texts)).collect()}
+    sets = [shingled(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i].keys() & sets[j].keys()) > 50 and root(i) != root(j) and probability_jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    assert got == {i: root(i) for i in range(len(texts))} and len(set(got.values())) > 20
+    assert len(rows) == 3 and rows[1] <= 400 and rows[2] < 10000  # of 44,850 pairs of the first crowd alone
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(10, 40)] + [(1, 2), (3, 2), (2, 2), (7, 5)], "a bigint, b bigint")
     got = {r.node: r.component for r in components(links).collect()}
@@ -231,6 +371,44 @@ def test_classifier_on_odd_rows(odd, labels):
     assert classifier.score(odd.limit(0), labels).count() == 0
 
 
+def test_context_vectors_and_pooling_equal_loops(spark):
+    texts = [prose(40, i) for i in range(6)] + ["a b", "one", "", None, "WORD!! WORD!! #x 12, a b c a b c"]
+    docs = frame(spark, texts).repartition(2)
+    vectors = classifier.context_vectors(docs)
+    plus, minus = classifier._index_vectors()
+    sums, ids_of = defaultdict(lambda: np.zeros(classifier.DIMS)), {}
+    for t in texts:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        _, words, marks = classifier.tokens(data, np.array([0, len(data)]))
+        ids_of[t] = words, marks
+        for ids in (words, marks):
+            for i, a in enumerate(ids):
+                for j in range(max(0, i - classifier.REACH), min(len(ids), i + classifier.REACH + 1)):
+                    if j != i:
+                        sums[a][plus[ids[j]]] += 1
+                        sums[a][minus[ids[j]]] -= 1
+    for a in range(classifier.WORDS + classifier.MARKS):
+        n = np.linalg.norm(sums[a]) if a in sums else 0
+        assert np.allclose(vectors[a], sums[a] / n if n else 0, atol=1e-6)
+    import pyarrow as pa
+
+    for t, row in zip(texts, classifier.pooled(pa.array(texts), vectors)):
+        words, marks = ids_of[t]
+        want = np.concatenate([vectors[words].mean(0), vectors[marks].mean(0), [np.log1p(len(words))]]) if len(words) else 0
+        assert np.allclose(row, want, atol=1e-5)
+
+
+def test_temperature_is_the_best_on_held_rows():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(900, 5))
+    y = (x[:, 0] + 1.5 * r.normal(size=900) > 0).astype(int)
+    net = classifier.fit(x, y)
+    held = np.arange(900) % 5 == 0
+    loss = lambda t: np.mean(np.logaddexp(0, net.logit(x[held]) / t) - y[held] * net.logit(x[held]) / t)
+    assert all(loss(net.temperature) <= loss(t) + 1e-9 for t in np.geomspace(0.25, 16, 121))
+    assert net.temperature > 1.05 or net.temperature < 0.95  # the fit alone is not calibrated
+
+
 # -- 5 token counts -----------------------------------------------------------------------------
 
 
@@ -317,6 +495,59 @@ def test_best_path_of_a_bpe_file_is_not_its_encoding(codec):
     assert other > 0
 
 
+def as_unigram(model):
+    """The given file with its model type replaced: its pieces and scores, read as a unigram vocabulary."""
+    out, fields = bytearray(), sentencepiece_codec._fields
+
+    def varint(n):
+        part = bytearray()
+        while n > 127:
+            part.append(n & 127 | 128)
+            n >>= 7
+        return bytes(part) + bytes([n])
+
+    for number, value in fields(model):
+        if number == 2:
+            kept = [(n, v) for n, v in fields(value) if n == 3]
+            assert kept == [(3, sentencepiece_codec.BPE)]
+            value = value.replace(bytes([3 << 3, sentencepiece_codec.BPE]), bytes([3 << 3, sentencepiece_codec.UNIGRAM]), 1)
+        out += varint(number << 3 | 2) + varint(len(value)) + value
+    return bytes(out)
+
+
+def test_unigram_files_are_encoded_by_the_scan(spark, codec, tmp_path, monkeypatch):
+    """On Spark, texts of many chunks and several levels: as good as the library's best path, and decoded again."""
+    monkeypatch.setattr(maxplus, "FAN", 3)
+    model = as_unigram(codec.model)
+    own = sentencepiece_codec.Codec(model)
+    assert own.scannable and not codec.scannable and sentencepiece_codec.model_kind(model) == sentencepiece_codec.UNIGRAM
+    (tmp_path / "unigram.model").write_bytes(model)
+    texts = [prose(150, 3), "The  state of the art, in many words. " * 12, "x" * 300, "é漢🙂 " * 40, " lead\n\nand\tmore ", None, "", "a"]
+    got = {r.doc_id: r for r in sentencepiece_codec.encode(frame(spark, texts), path=str(tmp_path / "unigram.model"), chunk=40).collect()}
+    sp = own.library
+    total = lambda ids: sum(-1e9 if sp.is_byte(i) else sp.get_score(i) for i in ids)
+    for i, t in enumerate(texts):
+        ids, want = list(got[i].ids), sp.encode(t or "")
+        assert total(ids) == pytest.approx(total(want)) and got[i].round_trip and got[i].n_tokens == len(ids)
+        assert sp.decode(ids) == (t or "")
+    assert sentencepiece_codec.encode(frame(spark, texts).limit(0), path=str(tmp_path / "unigram.model")).count() == 0
+
+
+def test_tree_of_products_equals_the_chain():
+    r = np.random.default_rng(8)
+    ms = [r.integers(-9, 0, (4, 4)).astype(float) for _ in range(11)]
+    chain = ms[0]
+    for m in ms[1:]:
+        chain = maxplus.compose(chain, m)
+    pairs = ms
+    while len(pairs) > 1:
+        pairs = [maxplus.compose(*pairs[i : i + 2]) if i + 1 < len(pairs) else pairs[i] for i in range(0, len(pairs), 2)]
+    assert np.array_equal(chain, pairs[0])
+    for entry, leave in ((0, 0), (2, 3)):
+        at = maxplus.states(ms, entry, leave)
+        assert (at[0], at[-1]) == (entry, leave) and sum(m[a, b] for m, a, b in zip(ms, at, at[1:])) == chain[entry, leave]
+
+
 def test_max_plus_scan_equals_the_whole():
     r = random.Random(5)
     pieces = ["▁", "a", "b", "ab", "ba", "aba", "▁a", "bb", "abb", "▁ab", "bab"]
@@ -398,6 +629,14 @@ def test_leaks_in_rows_that_share_an_id(spark):
     docs = frame(spark, texts + texts[::-1], [1, 1, 1, 2, 2] + [4, 4, 3, 3, 3])
     got = decontaminate.find_leaks(docs, benchmark).collect()
     assert sorted(r.doc_id for r in got) == [1, 2, 3, 4] and all(r.similarity == 1 for r in got)
+    left = decontaminate.drop_leaks(docs, benchmark).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == sorted((i, t) for i, t in zip([1, 1, 1, 2, 2] + [4, 4, 3, 3, 3], texts + texts[::-1]) if item not in t)
+    nameless = frame(spark, texts, [None] * 5)
+    assert [(r.doc_id, r.item_id) for r in decontaminate.find_leaks(nameless, benchmark).collect()] == [(None, 1)]
+    assert decontaminate.drop_leaks(nameless, benchmark).count() == 3
+    two = spark.createDataFrame([(1, prose(40, 99)), (1, item), (1, item)], "item_id bigint, text string")
+    for items in (two, two.orderBy("text")):
+        assert sorted(r.doc_id for r in decontaminate.find_leaks(docs, items).collect()) == [1, 2, 3, 4]
 
 
 def test_fingerprints_within_the_radius_share_a_block():
@@ -430,6 +669,43 @@ def test_sharding_contract(spark, odd):
     assert sharding.shard_documents(odd.limit(0), sharding.HashTree.balanced(24)).count() == 0
 
 
+def test_repeats_of_one_row_and_rows_without_a_key_get_slots_of_their_own(spark):
+    docs = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(None).alias("doc_id"), F.when(F.col("id") % 3 == 1, F.col("id")).otherwise(7).cast("string").alias("text")).repartition(5)
+    rows = sharding.shard_documents(docs, sharding.HashTree.balanced(24)).collect()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert len(rows) == 6000 and len(slots) <= 2 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert Counter(r.doc_id for r in rows) == {5: 2000, None: 4000}
+
+
+def test_draws_of_the_tree_recomputed(spark):
+    import hashlib
+    import math
+
+    tree = sharding.HashTree(tuple(sharding.Shard(f"r{i % 3}", f"k{i % 2}", i, 1.0 + i % 4) for i in range(11))).grow(2.5)
+
+    def least(key, children):
+        draw = lambda name, w: -math.log((int(hashlib.md5(f"{key}|{name}".encode()).hexdigest()[:12], 16) + 0.5) / 16**12) / w
+        return children[0][2] if len(children) == 1 else min(children, key=lambda c: draw(c[0], c[1]))[2]
+
+    def place(key):
+        regions = defaultdict(lambda: defaultdict(list))
+        for s in tree.shards:
+            regions[s.region][s.rack].append(s)
+        top = [(g, sum(s.weight for own in racks.values() for s in own), racks) for g, racks in regions.items()] + [(s.region, s.weight, s) for s in tree.added]
+        at = least(key, top)
+        if isinstance(at, sharding.Shard):
+            return at.shard
+        g = next(g for g, racks in regions.items() if racks is at)
+        own = least(key, [(f"{g}/{k}", sum(s.weight for s in ss), ss) for k, ss in at.items()])
+        k = next(k for k, ss in at.items() if ss is own)
+        return least(key, [(f"{g}/{k}/{s.shard}", s.weight, s) for s in own]).shard
+
+    got = spark.range(800).select("id", tree.assign(F.col("id").cast("string")).alias("s")).collect()
+    assert all(r.s == place(str(r.id)) for r in got) and {r.s for r in got} == set(range(12))
+
+
 def test_changed_weights_move_rows_only_in_changed_subtrees(spark):
     tree = sharding.HashTree.balanced(12)
     heavier = sharding.HashTree((*tree.shards[:-1], sharding.Shard(tree.shards[-1].region, tree.shards[-1].rack, 11, 2.0)))
@@ -492,6 +768,35 @@ def test_bounded_distance(spark):
             assert x.near == (distance(x.a, x.b) <= k), (x, k)
 
 
+def test_short_lines_are_compared_too_where_asked(spark):
+    texts = ["abc\nabd\nxyz", "ab\nq\nr", "abce\nzz"]
+    got = [r.text for r in line_dedup.dedup_lines(frame(spark, texts), near_from=2).orderBy("doc_id").collect()]
+    assert got == ["abc\nxyz", "q\nr", "zz"]
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    texts = ["first row line, of its own\nthe shared line of both", "the shared line of both\nonly in the second row"]
+    for ids in ([2, 2], [None, None], [7, None]):
+        for order in (texts, texts[::-1]):
+            got = "\n".join(r.text for r in line_dedup.dedup_lines(frame(spark, order, ids)).collect())
+            assert sorted(x for x in got.split("\n") if x) == ["first row line, of its own", "only in the second row", "the shared line of both"]
+    same = line_dedup.dedup_lines(frame(spark, [texts[0]] * 2, [5, 5])).collect()
+    assert [(r.text, r.n_dropped) for r in same] == [(texts[0], 0)] * 2
+
+
+def test_lines_of_a_large_group_equal_brute_force(spark, monkeypatch):
+    """Long lines that differ in one place of many, in length, and in two places."""
+    monkeypatch.setattr(line_dedup, "SMALL", 2)
+    r = random.Random(31)
+    base = prose(60, 77)
+    lines = list(dict.fromkeys([base] + [edited(base, r) for _ in range(60)] + [edited(edited(base, r), r) for _ in range(60)]))
+    texts = ["\n".join(lines[i::7]) for i in range(7)]
+    place = {x: (i % 7, i // 7) for i, x in enumerate(lines)}
+    near = {b for a in lines for b in lines if a != b and place[a] < place[b] and one_edit(a, b)}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    assert got == {i: "\n".join(x for x in lines[i::7] if x not in near) for i in range(7)} and len(near) > 40
+
+
 def test_lines_on_odd_rows(odd):
     rows = line_dedup.dedup_lines(odd).collect()
     assert len(rows) == odd.count()
@@ -516,3 +821,32 @@ def test_words_across_texts_and_slices(monkeypatch):
     assert len({h for h, (_, w) in zip(hashes.tolist(), want) if w == "ab"}) == 1 and len(set(hashes.tolist())) == len({w for _, w in want})
     d, s = scan.shingles(doc, hashes, 2)
     assert Counter(d.tolist()) == Counter({0: 1, 3: 1, 4: 1, 5: 1})
+
+
+@pytest.mark.parametrize("n", range(7))
+def test_portions_of_few_words(spark, n):
+    """Alone, and behind a text that fills a portion of its own."""
+    few = " ".join(f"w{i}" for i in range(n))
+    long = "abcd " * 1_000_000
+    for texts in ([few], [few, None], [long, few]):
+        docs = frame(spark, texts).coalesce(1)
+        assert prob_minhash.near_duplicate_classes(docs).where("is_first").count() == len(set(t or "" for t in texts))
+        marks = spark.createDataFrame([(0, 1)], "doc_id bigint, quality int")
+        assert classifier.score(docs, marks).count() == len(texts)
+
+
+def test_very_long_texts(spark):
+    """2.8 MB of words, and a word of 1 MB, beside short texts: every operator, whole results."""
+    long, word = prose(480_000, 5), "x" * 1_000_000
+    texts = [long, prose(60, 1), word, long + " end", "a b"]
+    docs, marks = frame(spark, texts).repartition(2), spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")
+    items = spark.createDataFrame([(1, " ".join(long.split()[400_000:400_040]))], "item_id bigint, text string")
+    assert {r.doc_id: r.n_words for r in quality_rules.apply_rules(docs, marks).collect()} == {i: len(t.split()) for i, t in enumerate(texts)}
+    left = {r.doc_id: r.text for r in substring_dedup.dedup_passages(docs).collect()}
+    assert [left[i] for i in (0, 1, 2, 4)] == [texts[i] for i in (0, 1, 2, 4)] and len(left[3]) < 200
+    classes = {r.doc_id: r.class_id for r in prob_minhash.near_duplicate_classes(docs).collect()}
+    assert classes == {0: 0, 1: 1, 2: 2, 3: 0, 4: 4}
+    assert classifier.score(docs, marks).count() == 5
+    assert {r.doc_id for r in decontaminate.find_leaks(docs, items).collect()} == {0, 3}
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == dict(enumerate(texts))
+    assert all(r.round_trip for r in sentencepiece_codec.encode(docs).collect())
