@@ -358,6 +358,14 @@ def ring_lookup_mmh3(spark, sf_dir):
     return keys.withColumn("u", unit).select("key", before.lookup(F.col("u")).alias("before"), after.lookup(F.col("u")).alias("after"))
 
 
+@query("SELECT * FROM (VALUES ('0', 593689054), ('1', -68075478), ('42', -1134849565), ('a', 1009084850), ('abcd', 1139631978)) t(key, hash)")
+def byte_hashes(spark, sf_dir):
+    """The exact byte hash of ints and strings, against published values."""
+    keys = spark.createDataFrame([("0",), ("1",), ("42",), ("a",), ("abcd",)], "key string")
+    number = F.try_to_number("key", F.lit("999")).cast("int")
+    return keys.select("key", F.coalesce(X.murmur3_int(number), X.murmur3_string(F.col("key"))).alias("hash"))
+
+
 @query(f"""WITH pts AS (SELECT {MD5.format("(p || '|' || r)")} AS h, p FROM range({N}) a(p), range(100) b(r)),
 keys AS (SELECT p_partkey, {MD5.format("p_partkey")} AS u FROM part),
 j AS (SELECT p_partkey, u, h, p FROM keys ASOF LEFT JOIN pts ON u <= h)
@@ -547,6 +555,21 @@ def gedik_penalties(spark, sf_dir):
     return spark.createDataFrame([tuple(map(float, found.values()))], ", ".join(f"{k} double" for k in found)).select(*(r6(k, k) for k in found))
 
 
+@query(f"""WITH {EV}, cnt AS (SELECT event_id % 2 AS h, k AS key, count(*) AS n FROM ev GROUP BY ALL),
+top AS (SELECT h, key, n / (SELECT sum(n) FROM cnt c WHERE c.h = cnt.h) AS freq, row_number() OVER (PARTITION BY h ORDER BY n DESC, key) AS rank FROM cnt),
+seen AS (SELECT key, max(freq) FILTER (WHERE h = 0) AS was, max(freq) FILTER (WHERE h = 1) AS now, key % {N} <> (key * 5 + 3) % {N} AS differs FROM top WHERE rank <= {2 * N} GROUP BY key)
+SELECT count(*) FILTER (WHERE now IS NULL) AS gone, round(coalesce(sum(was) FILTER (WHERE now IS NULL AND differs), 0), 6) AS gone_mass,
+ round(sum(CASE WHEN differs THEN coalesce(now, was) ELSE 0 END) / (sum(coalesce(now, was)) / {N}), 6) AS migration FROM seen""")
+def gedik_migration_penalty(spark, sf_dir):
+    """Keys of the second half of the events go from their old places to the ring's; some of the first half are tracked no more."""
+    rows = zipf(spark, sf_dir).withColumn("half", F.col("event_id") % 2)
+    was, now = (dict(_heavy(spark, sf_dir, 2 * N, rows.where(F.col("half") == h))) for h in (0, 1))
+    keys = was.keys() | now.keys()
+    t = gedik.Tracked(tuple(now.items()), was, {k: _OLD(k) for k in keys}, {k: _INNER(k) for k in keys}, N)
+    found = gedik.penalties(t, t.ring)
+    return spark.createDataFrame([(len(was.keys() - now.keys()), float(t.left()), float(found["migration"]))], "gone long, gone_mass double, migration double").select("gone", r6("gone_mass", "gone_mass"), r6("migration", "migration"))
+
+
 def _searched(spark, sf_dir, name: str) -> DataFrame:
     t = _tracked(spark, sf_dir)
     placed = gedik.SEARCHES[name](t)
