@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,15 +55,17 @@ def durable(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage, kept in the shared folder that the cluster names.
 
     The folder is ``spark.checkpoint.dir``, or the one that the context was given.  Without either
-    a session on one machine (``local``) uses its warehouse; on a cluster that is an error.  Files go
-    when the frame is garbage collected, if the cluster says so.
+    a session on one machine (``local``) uses its warehouse, and clears up when it ends; on a cluster
+    that is an error.  Files go when the frame is garbage collected, if the cluster says so.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
-        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints-{uuid.uuid4().hex}"
+        context.setCheckpointDir(folder)
+        atexit.register(shutil.rmtree, folder.removeprefix("file:"), True)
     return df.checkpoint(eager=True)
 
 
