@@ -8,10 +8,13 @@ restart too.
 
 from __future__ import annotations
 
+import atexit
 import base64
 import json
 import logging
+import os
 import pickle
+import shutil
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -271,12 +274,16 @@ def drift(now: dict, past: dict, take: int) -> float:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where streams and sinks of this session may write: ``spark.checkpoint.dir``, or on one machine the warehouse."""
+    """Where streams and sinks of this session may write: ``spark.checkpoint.dir``, or on one machine the warehouse, cleared up at the end."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     master = spark.sparkContext.master
     if not named and (not master.startswith("local") or master.startswith("local-cluster")):
         raise ValueError("spark.checkpoint.dir is not set: streams need a folder that all executors share")
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/streams"
+    if named:
+        return named
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/streams-{os.getpid()}"
+    atexit.register(shutil.rmtree, folder.removeprefix("file:"), True)
+    return folder
 
 
 def unique() -> str:
