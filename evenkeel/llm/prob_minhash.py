@@ -216,13 +216,19 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     elements = durable(found.mapInArrow(_elements, "node long, items array<long>, weights array<int>").dropDuplicates(["node"]))
 
     links = durable(_links(members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")), elements))
-    held = _mixed(members, components(links))
-    differing = _differing(held, elements)
-    links = durable(links.unionByName(_links(_deviating_least(differing), elements)))
-    classes = components(links)
-    held = _mixed(held, classes)
-    links = links.unionByName(durable(_links(_unresolved(held, differing, classes), elements)))
     classes = components(links)
+    held = _mixed(members, classes)
+    if not held.where(F.col("size") > LARGE).isEmpty():
+        differing = _differing(held, elements)
+        links = durable(links.unionByName(_links(_deviating_least(differing), elements)))
+        classes = components(links)
+        held = _mixed(held, classes)
+        more = _unresolved(held, differing, classes)
+    else:
+        more = _bucket_pairs(held.where("node != hub"), F.lit(False))
+    more = durable(_links(more, elements))
+    if not more.isEmpty():
+        classes = components(links.unionByName(more))
     known = texts.join(classes.withColumnRenamed("node", "id"), texts.node == F.col("id"), "left").select("k1", "k2", "head", F.coalesce("component", "node").alias("component"))
     first = known.groupBy("component").agg(F.min("head").alias("head"))
     return signed.select("doc_id", "k1", "k2", "row").join(known.drop("head").join(first, "component"), ["k1", "k2"]).withColumn("class_id", F.col("head.id"))
@@ -331,14 +337,15 @@ def _unresolved(held: DataFrame, differing: DataFrame, classes: DataFrame) -> Da
     large = held.where(F.col("size") > LARGE)
     alone = _provably_alone(large)
     rest = durable(large.join(alone, ["bucket", "node"], "left_anti"))
-    few = _bucket_pairs(held.where(F.col("size") <= LARGE))
+    few = _bucket_pairs(held.where(F.col("size") <= LARGE), _cannot_link("a", "b"))
     open_ = durable(differing.join(rest.select("node", "component").distinct(), "node"))
     return few.unionByName(_repeating_pairs(open_, _with_least(differing), classes)).unionByName(_crowd_pairs(open_.where("plain")))
 
 
-def _bucket_pairs(held: DataFrame) -> DataFrame:
+def _bucket_pairs(held: DataFrame, never: Column) -> DataFrame:
+    """Pairs (a, b) of a bucket in different components, but those that ``never`` tells of."""
     a, b = held.alias("a"), held.alias("b")
-    open_ = (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & ~_cannot_link("a", "b")
+    open_ = (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & ~never
     return a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & open_).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
@@ -369,7 +376,9 @@ def _repeating_pairs(texts: DataFrame, least: DataFrame, classes: DataFrame) ->
     shared = pairs(placed, placed, (F.col("a.item") == F.col("b.item")) & (F.col("a.node") < F.col("b.node")) & (F.abs(F.col("a.share") - F.col("b.share")) <= 1 - THRESHOLD + 1e-6))
     whole = texts.select("node", "crowd", "component", "plain", _odds(F.col("away")).alias("odds"))
     home = classes.select(F.col("node").alias("m_node"), F.col("component").alias("m_component"))
-    near = whole.join(least.select("node", F.col("m.node").alias("m_node")), "node").join(home, "m_node", "left")
+    least = durable(least.select("node", F.col("m.node").alias("m_node")))
+    heads = durable(least.select("m_node").distinct().join(home, "m_node", "left"))  # a row a crowd
+    near = whole.join(least, "node").join(small(heads), "m_node")
     apart = near.where(F.col("component") != F.coalesce("m_component", "m_node"))
     return shared.unionByName(pairs(durable(apart.select(whole.columns)), whole, F.lit(True)))
 
