@@ -46,11 +46,16 @@ def global_histogram(histogram: DataFrame, tasks: DataFrame, limit: int) -> Data
     return ranked(normalize(histogram, tasks).groupBy("key").agg(F.sum("freq").alias("freq")), limit)
 
 
-def exact(rows: DataFrame, key: str, limit: int) -> DataFrame:
-    """``rank, key, freq`` at sampling rate 1, where tasks need not be told apart: one aggregate, one top-k."""
+def shares(rows: DataFrame, key: str) -> DataFrame:
+    """``key, freq`` of every key at sampling rate 1, where tasks need not be told apart: one aggregate."""
     counts = rows.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    return ranked(counts.crossJoin(total).select("key", (F.col("n") / F.col("total")).alias("freq")), limit)
+    return counts.crossJoin(total).select("key", (F.col("n") / F.col("total")).alias("freq"))  # one row
+
+
+def exact(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """``rank, key, freq`` of the ``limit`` most frequent keys: one aggregate, one top-k.  For all keys see ``shares``."""
+    return ranked(shares(rows, key), limit)
 
 
 def ranked(freqs: DataFrame, limit: int) -> DataFrame:

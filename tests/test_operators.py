@@ -31,6 +31,21 @@ def test_validity_rejects_non_numbers(spark):
         assert H.validity(frame).first().valid is valid
 
 
+def test_validity_is_of_every_key(spark, tmp_path):
+    """More keys than a global histogram keeps, and events without a user: as its SQL counts them."""
+    import duckdb
+
+    from evenkeel import queries
+
+    for at, users in (("many", "i % 2600"), ("one", "CASE WHEN i % 2 = 0 THEN 7 END"), ("none", "CASE WHEN i < 0 THEN 7 END")):
+        (tmp_path / at).mkdir()
+        duckdb.execute(f"COPY (SELECT i AS event_id, {users} AS user_id FROM range(5200) t(i)) TO '{tmp_path}/{at}/events.parquet'")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/{at}/events.parquet'")
+        row = queries.histogram_validity(spark, str(tmp_path / at)).first()
+        assert [tuple(row)] == con.execute(queries.SQL["histogram_validity"]).fetchall(), at
+
+
 def test_naive_sampler_is_bounded_and_exact_while_small():
     s = S.Naive(1, scale=50, size=100, compaction=30)
     for i in range(40):
