@@ -178,23 +178,23 @@ class Lossy(Sampler):
 def sample(rows: DataFrame, key: str, make, task: str | None = None) -> DataFrame:
     """One sampler for each partition (or for each value of ``task``, dealt to partitions); SCHEMA rows.
 
-    ``make(seed)`` returns a sampler.  Keys are counted as text.
+    ``make(seed)`` returns a sampler.  Keys are counted as text.  Rows are not sorted by task, which would
+    hold a task's rows: each partition has the samplers of its tasks side by side, all of them bounded.
     """
     if task is not None:
-        rows = rows.repartition(F.col(task)).sortWithinPartitions(task)
+        rows = rows.repartition(F.col(task))
     columns = rows.select(F.col(task).cast("int").alias("t") if task else F.spark_partition_id().alias("t"), F.col(key).cast("string").alias("k"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, at = None, None
+        own = {}
         for pdf in batches:
             for t, part in pdf.groupby("t", sort=True):
-                if t != at:
-                    if own is not None:
-                        yield own.rows(at)
-                    own, at = make(int(t)), int(t)
+                if t not in own:
+                    own[int(t)] = make(int(t))
+                add = own[int(t)].add
                 for k in part["k"]:
-                    own.add(k)
-        if own is not None:
-            yield own.rows(at)
+                    add(k)
+        for t in sorted(own):
+            yield own[t].rows(t)
 
     return columns.mapInPandas(run, SCHEMA)

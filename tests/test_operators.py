@@ -209,6 +209,28 @@ def test_naive_sampler_by_a_plain_loop(spark):
         assert rows[0].normalization_factor == pytest.approx(factor) and rows[0].sample_rate == pytest.approx(rate)
 
 
+@pytest.mark.parametrize("make", [lambda seed: S.Naive(seed, scale=40, size=60, compaction=25), lambda seed: S.DriftRespecting(seed, take=10, soft=50, compaction=20)])
+def test_samplers_share_a_partition_and_hold_no_rows(spark, make):
+    """Nothing is sorted by task; tasks that come mixed, over many batches, are sampled as if each were alone."""
+    rows = [(i % 3, f"k{i * i % 99991 % 500}") for i in range(3000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = S.sample(spark.createDataFrame(rows, "t int, k string").coalesce(1), "k", make, "t")
+        assert "Sort" not in got._jdf.queryExecution().executedPlan().toString()
+        found = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for t in range(3):
+        alone = make(t)
+        for own, k in rows:
+            if own == t:
+                alone.add(k)
+        assert alone.backoffs > 0
+        assert {r.key: (r.value, r.records_passed, r.backoffs) for r in found if r.task_id == t} == {k: (v, 1000, alone.backoffs) for k, v in alone.counts.items()}
+
+
 @pytest.mark.parametrize("strategy", ["kip", "scan"])
 def test_stream_controller_restarts_where_it_was(spark, tmp_path, strategy):
     worked = []
