@@ -60,7 +60,11 @@ def skew_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, salts: int) -> DataFrame:
-    """Inner join in which each key of ``big`` is spread over ``salts`` partitions; ``small`` is repeated as often."""
+    """Inner join in which each key of ``big`` is spread over ``salts`` partitions; ``small`` is repeated as often.
+
+    The copies are dealt out and sorted, never broadcast: the planner takes them for as small as ``small``
+    itself, and each task would hold all of them.
+    """
     spread = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, [key, "_salt"]).drop("_salt")
+    return spread.join(copies.hint("merge"), [key, "_salt"]).drop("_salt")

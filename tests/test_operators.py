@@ -110,6 +110,16 @@ def test_salted_join_equals_join(spark):
     assert sorted(map(tuple, R.salted_join(big, small, "k", 4).collect())) == sorted(map(tuple, big.join(small, "k").collect()))
 
 
+def test_salted_join_never_broadcasts_its_copies(spark):
+    """The planner takes the copies for as small as the table they are made of; every task would hold all of them."""
+    big = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id") % 50).alias("k"), "id")
+    small = spark.range(1, 40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x")).unionByName(spark.createDataFrame([(1, 5), (None, 6)], "k long, x long"))
+    joined = R.salted_join(big, small, "k", 4)
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, big.join(small, "k").collect()))
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stream_controller_replays_without_counting_twice(spark):
     control = C.StreamController(C.Decider(spark, 4), "k", lambda batch, i: None)
     batch = spark.range(200).select((F.col("id") % 9).alias("k"))
